@@ -18,8 +18,35 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(table(spark, sf_dir, "documents"))
 
 
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kolumna.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_near_dup": op3_near_dup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"[^\x20\x09-\x0D]+"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_near_dup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_AZ}, '{_SPACED}') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
+        ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS sh FROM w),
+n AS (SELECT doc_id, sh, len(sh) AS n FROM g),
+c AS (SELECT min(doc_id) AS rep, any_value(sh) AS sh, any_value(n) AS n, list_sort(sh) AS k FROM n WHERE n > 0 GROUP BY list_sort(sh)),
+u AS (SELECT rep, n, unnest(sh) AS s FROM c),
+p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS i FROM u a JOIN u b ON a.s = b.s AND a.rep < b.rep
+        AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * i >= 80 * (na + nb - i)),
+y AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(x, z) AS (SELECT rep, rep FROM c UNION SELECT r.x, y.b FROM r JOIN y ON r.z = y.a),
+l AS (SELECT x, min(z) AS comp FROM r GROUP BY x),
+m AS (SELECT c.k, l.comp FROM c JOIN l ON l.x = c.rep)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(m.comp, n.doc_id) AS component_id, n.doc_id = coalesce(m.comp, n.doc_id) AS kept
+FROM n LEFT JOIN m ON n.n > 0 AND m.k = list_sort(n.sh)""",
+}
