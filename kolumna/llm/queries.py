@@ -24,13 +24,33 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kolumna.llm.decontam import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", F.expr("n_hit > 0 and 20 * n_hit >= n_words").alias("contaminated"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    from kolumna.llm.token_counts import token_counts
+
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts(table(spark, sf_dir, "documents"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dup": op3_near_dup,
+    "op7_decontamination": op7_decontamination,
+    "op8_token_counts": op8_token_counts,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACED = r"[^\x20\x09-\x0D]+"
+_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLE_SQL: dict[str, str] = {
     "op3_near_dup": f"""
@@ -49,4 +69,18 @@ l AS (SELECT x, min(z) AS comp FROM r GROUP BY x),
 m AS (SELECT c.k, l.comp FROM c JOIN l ON l.x = c.rep)
 SELECT n.doc_id, n.n AS n_shingles, coalesce(m.comp, n.doc_id) AS component_id, n.doc_id = coalesce(m.comp, n.doc_id) AS kept
 FROM n LEFT JOIN m ON n.n > 0 AND m.k = list_sort(n.sh)""",
+    "op7_decontamination": rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_AZ}, '{_ALNUM}') AS ws FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_AZ}, '{_ALNUM}') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+iw AS (SELECT DISTINCT item_id, least(len(ws), 13) AS l, array_to_string(ws[k : k + least(len(ws), 13) - 1], ' ') AS t
+       FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) AS k FROM i WHERE len(ws) > 0)),
+ls AS (SELECT DISTINCT l FROM iw),
+dw AS (SELECT row, l, k, array_to_string(ws[k : k + l - 1], ' ') AS t
+       FROM (SELECT row, ws, l, unnest(range(1, len(ws) - l + 2)) AS k FROM d, ls WHERE len(ws) >= l)),
+m AS (SELECT row, dw.l, k, item_id FROM dw JOIN iw ON dw.t = iw.t AND dw.l = iw.l),
+h AS (SELECT row, count(DISTINCT w) AS n_hit FROM (SELECT row, unnest(range(k, k + l)) AS w FROM (SELECT DISTINCT row, l, k FROM m)) GROUP BY row),
+n AS (SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY row)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN h USING (row) LEFT JOIN n USING (row)""",
 }
