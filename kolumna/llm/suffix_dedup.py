@@ -37,8 +37,8 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of distinct runs that one transform is built over.
 BLOCK = 1_200_000
-#: Runs of one key beyond which it is split by content.
-HOT = 2_000
+#: Runs of one key beyond which it is split by content: what does not fit a block.
+HOT = BLOCK // 400
 
 _U = np.uint64
 
