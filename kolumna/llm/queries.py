@@ -41,11 +41,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None)
     return token_counts(table(spark, sf_dir, "documents"), model)
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kolumna.llm.lm_score import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dup": op3_near_dup,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
+    "op10_lm_score": op10_lm_score,
 }
 
 _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

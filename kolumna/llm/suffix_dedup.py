@@ -186,11 +186,20 @@ def _search(length: int, block: int):
         held: list[tuple[bytes, bytes, int, bool]] = []
         group: dict[bytes, list] = {}
         at, bytes_held, out = None, 0, []
+
+        def close() -> int:
+            """Put a key's distinct runs to those of the block; one run that makes up its key repeats as a whole, whatever the block holds."""
+            rows = [(i, s, t, h) for i, (s, t, h) in group.items()]
+            if len(rows) == 1 and rows[0][2] > 1 and not rows[0][3]:
+                out.append([rows[0][0], 0, len(rows[0][1]) - length + 1, None])
+                return 0
+            held.extend(rows)
+            return sum(len(x[1]) for x in rows)
+
         for batch in batches:
             for row in batch.to_pylist():
                 if (row["key"], row["part"]) != at:
-                    held += [(i, s, t, h) for i, (s, t, h) in group.items()]
-                    bytes_held += sum(len(x[0]) for x in group.values())
+                    bytes_held += close()
                     group, at = {}, (row["key"], row["part"])
                     if bytes_held >= block:
                         solve(held, out)
@@ -201,7 +210,7 @@ def _search(length: int, block: int):
                     known[1] += row["times"]
                 else:
                     group[row["run_id"]] = [row["string"], row["times"], row["split"]]
-        held += [(i, s, t, h) for i, (s, t, h) in group.items()]
+        close()
         if held:
             solve(held, out)
         yield flush(out)

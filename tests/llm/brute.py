@@ -17,3 +17,22 @@ def removal(texts, length=200):
         spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
         out.append((len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def lm_base(rows, folds=10):
+    import math
+    import zlib
+
+    fold = lambda t: (t or "").encode().lower().split()  # noqa: E731  bytes: A-Z only, and just these six spaces
+    train = lambda i: i is not None and zlib.crc32(str(i).encode()) % folds != 0
+    c = Counter()
+    for i, t in rows:
+        if train(i):
+            c.update(fold(t))
+            c[None] += 1
+    n, v = sum(c.values()), len(c)
+    out = []
+    for i, t in rows:
+        tokens = [*fold(t), None]
+        out.append((i, not train(i), len(tokens), sum(c[x] > 0 for x in tokens), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens)))
+    return out
