@@ -41,6 +41,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None)
     return token_counts(table(spark, sf_dir, "documents"), model)
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kolumna.llm.secrets import secret_spans
+
+    return secret_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kolumna.llm.lm_score import scores
 
@@ -52,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_near_dup": op3_near_dup,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
+    "op9_secrets": op9_secrets,
     "op10_lm_score": op10_lm_score,
 }
 
