@@ -12,6 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kolumna.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3, F.lit(0))
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=fold != 1)
+    return quality.scored(docs, model, ["doc_id"]).select("doc_id", (fold == 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kolumna.llm.suffix_dedup import removal_report
 
@@ -54,6 +63,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dup": op3_near_dup,
     "op7_decontamination": op7_decontamination,
