@@ -33,6 +33,12 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kolumna.llm.mixing import mix_report
+
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kolumna.llm.decontam import contamination
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dup": op3_near_dup,
+    "op4_mixing": op4_mixing,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
@@ -93,6 +100,24 @@ l AS (SELECT x, min(z) AS comp FROM r GROUP BY x),
 m AS (SELECT c.k, l.comp FROM c JOIN l ON l.x = c.rep)
 SELECT n.doc_id, n.n AS n_shingles, coalesce(m.comp, n.doc_id) AS component_id, n.doc_id = coalesce(m.comp, n.doc_id) AS kept
 FROM n LEFT JOIN m ON n.n > 0 AND m.k = list_sort(n.sh)""",
+    "op4_mixing": f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SPACED}')) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS ss, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS k FROM d GROUP BY source),
+w AS (SELECT source, ss, [5, 2, 1][k] AS w FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 3.0 * ss / w, source) AS n, sum(3 * ss) OVER u AS caps, sum(w) OVER u AS ws, (SELECT sum(ss) FROM w) AS t, (SELECT sum(w) FROM w) AS wt
+      FROM w WINDOW u AS (ORDER BY 3.0 * ss / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT CAST(t - coalesce(caps, 0) AS DOUBLE) / CAST(wt - coalesce(ws, 0) AS DOUBLE) AS share, n FROM o
+      WHERE w * (CAST(t - coalesce(caps, 0) AS DOUBLE) / CAST(wt - coalesce(ws, 0) AS DOUBLE)) <= 3 * ss ORDER BY n LIMIT 1),
+g AS (SELECT source, ss, least(w * share, CAST(3 * ss AS DOUBLE)) AS target FROM w, r),
+e AS (SELECT doc_id, d.source, size, ss, target, CASE WHEN ss > 0 THEN least(target / CAST(ss AS DOUBLE) * 1.0::DOUBLE, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS x,
+      (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+q AS (SELECT *, floor(x) AS whole, x - floor(x) AS p FROM e),
+f AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u * (1 - p)) / ((1 - u) * p) END AS odds FROM q),
+l AS (SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS lack,
+      coalesce(sum(size) FILTER (odds IS NOT NULL) OVER (PARTITION BY source ORDER BY odds / (1 + odds) NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
+SELECT doc_id, size, ss AS source_size, target,
+  CAST(CASE WHEN size > 0 THEN (whole + CASE WHEN odds IS NOT NULL AND before + size / 2.0 <= lack THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken FROM l""",
     "op7_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_AZ}, '{_ALNUM}') AS ws FROM documents),
 i AS (SELECT item_id, regexp_extract_all({_AZ}, '{_ALNUM}') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
