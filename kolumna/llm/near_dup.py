@@ -10,7 +10,9 @@ threshold go.  What is left is confirmed on the full shingle sets.
 Equal sets are one class, so copies cost nothing.  In a band's bucket only
 the least class is compared with the others at first; that joins nearly every
 group at linear cost.  Then only pairs in different components that share a
-bucket are compared, in blocks of bounded size.  After both steps every pair
+bucket are compared, in blocks of bounded size and by odd sketches of the
+whole sets as well: those never differ in more bits than the sets do in
+shingles, so that they part families just below the threshold without loss.  After both steps every pair
 of a bucket is either in one component or was compared, so no link between
 candidates is lost.  A pair at similarity 0.8 shares no bucket with
 probability (1 - 0.8^5)^40 = 1.2e-7, and less above.
@@ -38,8 +40,10 @@ SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 40, 5
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-#: Pairs whose sketches put them below this go without the exact check; at 0.8 that is six deviations away.
-SKETCH_FLOOR = 0.5
+#: Pairs whose sketches put them below this go without the exact check; at 0.8 that is five deviations away.
+SKETCH_FLOOR = 0.6
+#: Bits of a set's own parity bitmap for each of its shingles, at least.
+PARITY = 4
 #: Classes of a bucket that are compared at once.
 BLOCK = 2048
 
@@ -89,12 +93,27 @@ def bands_and_sketch(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.int64), np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """Odd sketch of a whole set: a power of two of bits. Two of them differ in as many bits as the sets differ in shingles, or fewer."""
+    bits = max(64, 1 << (PARITY * len(hashes) - 1).bit_length())
+    at = (hashes & _U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _fold(rows: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps of a power of two of 64-bit words, folded to ``words``."""
+    while rows.shape[-1] > words:
+        half = rows.shape[-1] // 2
+        rows = rows[..., :half] ^ rows[..., half:]
+    return rows
+
+
 def most_differing_bits(similarity: float) -> int:
     """Bits in which two sketches differ at this similarity, on average."""
     return math.floor(SKETCH_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - similarity) / SKETCH_BITS)))
 
 
-def _sign(size: int, id_type: pa.DataType | None = None):
+def _sign(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, offsets = textblocks.raw(textblocks.column(batch, "text"))
@@ -105,13 +124,15 @@ def _sign(size: int, id_type: pa.DataType | None = None):
                 count = np.diff(first)
                 both = np.zeros((n, 2), np.int64)
                 bands, sketch = np.zeros((n, BANDS), np.int64), np.zeros((n, SKETCH_BITS // 64), np.int64)
+                bitmaps = [b""] * n
                 other = textblocks.mix(hashes + _U(1))
                 for k in np.flatnonzero(count):
                     a, b = first[k], first[k + 1]
                     both[k] = hashes[a:b].sum(dtype=_U).view(np.int64), other[a:b].sum(dtype=_U).view(np.int64)
                     bands[k], sketch[k] = bands_and_sketch(samples(hashes[a:b]))
+                    bitmaps[k] = parity(hashes[a:b])
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * x.shape[1], pa.int32()), pa.array(x.ravel())) for x in (bands, sketch)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, n), pa.array(count, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), *lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, n), pa.array(count, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), *lists, pa.array(bitmaps, pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "parity"])
 
     return run
 
@@ -141,27 +162,44 @@ def _confirm(size: int, percent: int):
 
 
 def _within(most: int, percent: int):
-    """Sorted members of buckets (bucket, i, j, block, rep, component, n_shingles, sketch, least) to pairs in different components whose sketches are near."""
+    """Sorted members of buckets (bucket, i, j, block, rep, component, n_shingles, sketch, parity, least) to the pairs in
+    different components that may be links: sketches near enough, then bitmaps of the whole sets, which no link fails."""
+
+    class Side:
+        def __init__(self, rows: list[dict]):
+            self.rep, self.component, self.n, self.least = (np.array([r[c] for r in rows], np.int64) for c in ("rep", "component", "n_shingles", "least"))
+            self.sketch = np.array([r["sketch"] for r in rows], np.int64).view(_U)
+            self.words = np.array([len(r["parity"]) // 8 for r in rows])
+            self.place = np.zeros(len(rows), np.int64)
+            self.maps = {}
+            for w in np.unique(self.words).tolist():
+                at = np.flatnonzero(self.words == w)
+                self.place[at] = np.arange(len(at))
+                self.maps[w] = np.array([np.frombuffer(rows[k]["parity"], _U) for k in at])
 
     def solve(rows: list[dict]) -> list[tuple]:
         left = [r for r in rows if r["block"] == r["i"]]
         right = left if rows[0]["i"] == rows[0]["j"] else [r for r in rows if r["block"] == r["j"]]
         if not left or not right:
             return []
-        a, b = (np.array([r["sketch"] for r in x], np.int64).view(_U) for x in (left, right))
-        ca, cb = (np.array([r["component"] for r in x], np.int64) for x in (left, right))
-        na, nb = (np.array([r["n_shingles"] for r in x], np.int64) for x in (left, right))
+        a = Side(left)
+        b = a if right is left else Side(right)
         out = []
-        for k in range(len(left)):
-            near = (cb != ca[k]) & (100 * np.minimum(nb, na[k]) >= percent * np.maximum(nb, na[k]))
-            if left is right:
+        for k in range(len(a.rep)):
+            near = (b.component != a.component[k]) & (100 * np.minimum(b.n, a.n[k]) >= percent * np.maximum(b.n, a.n[k]))
+            near &= (b.rep != b.least) & (a.rep[k] != a.least[k])
+            if a is b:
                 near[: k + 1] = False
             at = np.flatnonzero(near)
             if len(at):
-                at = at[np.bitwise_count(b[at] ^ a[k]).sum(axis=1) <= most]
-            for p in at.tolist():
-                x, y = left[k]["rep"], right[p]["rep"]
-                if left[k]["least"] not in (x, y):
+                at = at[np.bitwise_count(b.sketch[at] ^ a.sketch[k]).sum(axis=1) <= most]
+            for w in np.unique(b.words[at]).tolist():
+                part = at[b.words[at] == w]
+                least = min(w, int(a.words[k]))
+                differ = np.bitwise_count(_fold(b.maps[w][b.place[part]], least) ^ _fold(a.maps[int(a.words[k])][a.place[k]], least)).sum(axis=1)
+                # |A ^ B| of a link is (1 - s) / (1 + s) of the sizes' sum, or less.
+                for p in part[(100 + percent) * differ.astype(np.int64) <= (100 - percent) * (b.n[part] + a.n[k])].tolist():
+                    x, y = int(a.rep[k]), int(b.rep[p])
                     out.append((min(x, y), max(x, y)))
         return out
 
@@ -188,9 +226,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row for each document: doc_id (a whole number), n_shingles, component_id (the least id it is linked with, over any number of links) and kept."""
     most = most_differing_bits(SKETCH_FLOOR)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signs = saved(rows.mapInArrow(_sign(shingle), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch array<bigint>"), "signs")
+    signs = saved(rows.mapInArrow(_sign(shingle), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch array<bigint>, parity binary"), "signs")
     filled = signs.where("n_shingles > 0 and doc_id is not null")
-    classes = saved(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n_shingles", "bands", "sketch")).alias("s")).select("set_a", "set_b", "rep", "s.*"), "classes")
+    classes = saved(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n_shingles", "bands", "sketch", "parity")).alias("s")).select("set_a", "set_b", "rep", "s.*"), "classes")
     members = classes.select("rep", F.explode("bands").alias("bucket"))
     weights = classes.select("rep", "n_shingles", "sketch")
 
@@ -218,7 +256,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     split = F.ceil(F.col("n") / block).cast("int")
     loose = placed.join(mixed.select("bucket", split.alias("blocks"), "least"), "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     sides = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    dealt = loose.select("bucket", "block", "rep", "component", "least", F.explode(sides).alias("s")).select("bucket", "s.i", "s.j", "block", "rep", "component", "least").join(weights, "rep")
+    dealt = loose.select("bucket", "block", "rep", "component", "least", F.explode(sides).alias("s")).select("bucket", "s.i", "s.j", "block", "rep", "component", "least").join(classes.select("rep", "n_shingles", "sketch", "parity"), "rep")
     compared = dealt.repartition(width(docs.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_within(most, percent), "a bigint, b bigint").distinct()
     second = saved(compared, "pairs")
     if second.isEmpty():
