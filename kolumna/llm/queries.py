@@ -39,6 +39,18 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kolumna.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), "id % 50 = 0")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kolumna.llm.licenses import license_notices
+
+    return license_notices(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kolumna.llm.decontam import contamination
 
@@ -73,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dup": op3_near_dup,
     "op4_mixing": op4_mixing,
+    "op5_top_k": op5_top_k,
+    "op6_license_scan": op6_license_scan,
     "op7_decontamination": op7_decontamination,
     "op8_token_counts": op8_token_counts,
     "op9_secrets": op9_secrets,
@@ -83,6 +97,29 @@ _AZ = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijkl
 _SPACED = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+def license_sql() -> str:
+    """The licence scan for DuckDB, with its templates."""
+    from kolumna.llm import licenses
+
+    t = licenses.THRESHOLD
+    known = sorted({(name, tuple(licenses.grams(x))) for name, x in licenses.TEMPLATES})
+    limits = [licenses.bounds(len(g), t) for _, g in known]
+    quoted = lambda g: ", ".join(f"'{x}'" for x in g)
+    values = ", ".join(f"({k}, '{name}', [{quoted(g)}], {a}, {b})" for k, ((name, g), (a, b)) in enumerate(zip(known, limits)))
+    return f"""
+WITH t(k, license, g, lo, hi) AS (VALUES {values}),
+d AS (SELECT row_number() OVER () AS row, doc_id, regexp_replace({_AZ}, '[^a-z0-9\\n]+', ' ', 'g') AS p FROM documents),
+u AS (SELECT row, unnest(list_concat(string_split(p, chr(10)), list_transform(list_filter(string_split_regex(p, '\\n *\\n[ \\n]*'), lambda x: regexp_matches(x, '[a-z0-9] *\\n *[a-z0-9]')), lambda x: replace(x, chr(10), ' ')))) AS u FROM d),
+w AS (SELECT row, list_filter(string_split(u, ' '), lambda x: x <> '') AS w FROM u),
+g AS (SELECT row, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM w),
+s AS (SELECT row_number() OVER () AS unit, row, g FROM g WHERE len(g) > 0),
+m AS (SELECT unit, row, k, license, 2.0::DOUBLE * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g)) AS dice FROM s JOIN t ON len(s.g) BETWEEN lo AND hi),
+b AS (SELECT unit, row, max(dice) AS dice, arg_min(license, k) AS license, min(k) AS k FROM (SELECT *, max(dice) OVER (PARTITION BY unit) AS top FROM m) WHERE dice = top AND dice >= {t} GROUP BY unit, row),
+n AS (SELECT row, count(*) AS n_notices, max(dice) AS dice FROM b GROUP BY row),
+f AS (SELECT b.row, arg_min(b.license, b.k) AS license FROM b JOIN n ON b.row = n.row AND b.dice = n.dice GROUP BY b.row)
+SELECT doc_id, coalesce(n_notices, 0) AS n_notices, license, coalesce(dice, 0.0::DOUBLE) AS dice FROM d LEFT JOIN n USING (row) LEFT JOIN f USING (row)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_near_dup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_AZ}, '{_SPACED}') AS ws FROM documents),
@@ -118,6 +155,13 @@ l AS (SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS lack,
       coalesce(sum(size) FILTER (odds IS NOT NULL) OVER (PARTITION BY source ORDER BY odds / (1 + odds) NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
 SELECT doc_id, size, ss AS source_size, target,
   CAST(CASE WHEN size > 0 THEN (whole + CASE WHEN odds IS NOT NULL AND before + size / 2.0 <= lack THEN 1 ELSE 0 END) * size ELSE 0 END AS BIGINT) AS taken FROM l""",
+    "op5_top_k": """
+WITH v AS (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256.0::DOUBLE * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_license_scan": license_sql(),
     "op7_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_AZ}, '{_ALNUM}') AS ws FROM documents),
 i AS (SELECT item_id, regexp_extract_all({_AZ}, '{_ALNUM}') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
