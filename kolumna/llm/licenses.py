@@ -49,12 +49,14 @@ def grams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:]))) or words
 
 
-def _gram_sets(text: Column) -> Column:
-    """The grams of each unit of a text; units without words have none."""
+def _gram_sets(text: Column, low: int, high: int) -> Column:
+    """The grams of each unit of a text that may have from low to high of them: one of d distinct words has d - 1 or more."""
     plain = F.regexp_replace(F.translate(text.cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^a-z0-9\n]+", " ")
     lines = F.split(plain, r"\n")
     paragraphs = F.transform(F.filter(F.split(plain, r"\n *\n[ \n]*"), lambda p: F.rlike(p, F.lit(r"[a-z0-9] *\n *[a-z0-9]"))), lambda p: F.translate(p, "\n", " "))
-    words = F.transform(F.concat(lines, paragraphs), lambda u: F.filter(F.split(u, " "), lambda w: w != ""))
+    words = F.transform(F.concat(lines, paragraphs), lambda u: F.split(F.trim(u), " "))
+    words = F.filter(words, lambda w: (F.size(w) >= low) & (F.size(F.array_distinct(w)) <= high + 1))
+    words = F.transform(words, lambda w: F.filter(w, lambda x: x != ""))
     pairs = lambda w: F.array_distinct(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), w[i + 1])))
     return F.transform(words, lambda w: F.when(F.size(w) < 2, w).otherwise(pairs(w)))
 
@@ -79,7 +81,7 @@ def license_notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             options.append(F.struct(dice.alias("dice"), F.lit(-k).alias("place")))
         return F.array_max(F.array(*options))
 
-    fitting = F.filter(_gram_sets(F.coalesce(F.col(text).cast("string"), F.lit(""))), lambda g: (F.size(g) >= low) & (F.size(g) <= high))
+    fitting = F.filter(_gram_sets(F.coalesce(F.col(text).cast("string"), F.lit("")), low, high), lambda g: (F.size(g) >= low) & (F.size(g) <= high))
     scored = docs.select(F.col(doc_id).alias("doc_id"), F.filter(F.transform(fitting, best), lambda x: x["dice"] >= threshold).alias("found"))
     top = F.array_max("found")
     name = F.element_at(F.array(*(F.lit(n) for n, _ in known)), F.lit(1) - top["place"])
