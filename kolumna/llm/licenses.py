@@ -5,7 +5,9 @@ paragraphs (blank lines part them).  Normalised, they are lower-case words of
 a-z and 0-9; a unit is compared by the set of its word bigrams (one word alone
 is one gram).  With a and b grams, the coefficient 2c / (a + b) is at most
 2 min(a, b) / (a + b), so a template of b grams can reach the threshold t only
-if b t / (2 - t) <= a <= b (2 - t) / t; other templates are not looked at.
+if b t / (2 - t) <= a <= b (2 - t) / t; other templates are not looked at.  The
+same bounds say how many grams must be shared, and so give a few words of
+which a matching unit has one; texts without any of them are not cut up.
 
 Everything is DataFrame expressions, row by row, without a shuffle.
 
@@ -43,6 +45,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+#: Words of ordinary prose, which tell little about a notice.
+COMMON = "a and as be by can do except for found in is may of or not no that the this to under use with you".split()
+
+
 def grams(text: str) -> list[str]:
     """Distinct grams of a template, as the expressions below make them."""
     words = "".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split()
@@ -66,6 +72,22 @@ def bounds(grams_: int, threshold: float) -> tuple[int, int]:
     return math.ceil(grams_ * threshold / (2 - threshold) - 1e-9), math.floor(grams_ * (2 - threshold) / threshold + 1e-9)
 
 
+def cue_words(known: list[tuple[str, tuple[str, ...]]], threshold: float) -> list[str]:
+    """Words of which every unit that reaches the threshold with a template has one.
+
+    With b grams, a template shares at least t (low + b) / 2 with such a unit. Its longest words are taken
+    until fewer of its grams than that are without one; so one of the shared grams has one."""
+    found: set[str] = set()
+    for _, g in known:
+        need = math.ceil(threshold * (bounds(len(g), threshold)[0] + len(g)) / 2 - 1e-9)
+        left, words = list(g), sorted({w for x in g for w in x.split()}, key=lambda w: (w in COMMON, -len(w), w))
+        while len(left) >= need:
+            word = words.pop(0)
+            found.add(word)
+            left = [x for x in left if word not in x.split()]
+    return sorted(found)
+
+
 def license_notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """One row for each document: doc_id, n_notices (units that reach the threshold), license (of the best one) and dice."""
     known = sorted({(name, tuple(grams(t))) for name, t in templates})
@@ -81,8 +103,11 @@ def license_notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             options.append(F.struct(dice.alias("dice"), F.lit(-k).alias("place")))
         return F.array_max(F.array(*options))
 
-    fitting = F.filter(_gram_sets(F.coalesce(F.col(text).cast("string"), F.lit("")), low, high), lambda g: (F.size(g) >= low) & (F.size(g) <= high))
-    scored = docs.select(F.col(doc_id).alias("doc_id"), F.filter(F.transform(fitting, best), lambda x: x["dice"] >= threshold).alias("found"))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    cue = F.rlike(whole, F.lit(f"(?i)(?<![a-z0-9])(?:{'|'.join(cue_words(known, threshold))})(?![a-z0-9])"))
+    fitting = F.filter(_gram_sets(whole, low, high), lambda g: (F.size(g) >= low) & (F.size(g) <= high))
+    matches = F.filter(F.transform(fitting, best), lambda x: x["dice"] >= threshold)
+    scored = docs.select(F.col(doc_id).alias("doc_id"), F.when(cue, matches).otherwise(F.filter(F.array(best(F.array(F.lit("")))), lambda x: x["dice"] > 1)).alias("found"))
     top = F.array_max("found")
     name = F.element_at(F.array(*(F.lit(n) for n, _ in known)), F.lit(1) - top["place"])
     return scored.select("doc_id", F.size("found").cast("long").alias("n_notices"), F.when(F.size("found") > 0, name).alias("license"), F.coalesce(F.when(F.size("found") > 0, top["dice"]), F.lit(0.0)).alias("dice"))
