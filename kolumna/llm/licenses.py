@@ -1,7 +1,7 @@
 """Licence notices in texts, by Dice coefficient of word bigrams with templates.
 
 A text's units are its lines and, where they have several lines, its
-paragraphs (blank lines part them).  Normalised, they are lower-case words of
+paragraphs (blank lines part them), so a notice may count as both.  Normalised, they are lower-case words of
 a-z and 0-9; a unit is compared by the set of its word bigrams (one word alone
 is one gram).  With a and b grams, the coefficient 2c / (a + b) is at most
 2 min(a, b) / (a + b), so a template of b grams can reach the threshold t only
@@ -89,7 +89,7 @@ def cue_words(known: list[tuple[str, tuple[str, ...]]], threshold: float) -> lis
 
 
 def license_notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """One row for each document: doc_id, n_notices (units that reach the threshold), license (of the best one) and dice."""
+    """One row for each document: doc_id, n_units (units that reach the threshold), license (of the best one) and dice."""
     known = sorted({(name, tuple(grams(t))) for name, t in templates})
     limits = [bounds(len(g), threshold) for _, g in known]
     low, high = min(a for a, _ in limits), max(b for _, b in limits)
@@ -110,4 +110,4 @@ def license_notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     scored = docs.select(F.col(doc_id).alias("doc_id"), F.when(cue, matches).otherwise(F.filter(F.array(best(F.array(F.lit("")))), lambda x: x["dice"] > 1)).alias("found"))
     top = F.array_max("found")
     name = F.element_at(F.array(*(F.lit(n) for n, _ in known)), F.lit(1) - top["place"])
-    return scored.select("doc_id", F.size("found").cast("long").alias("n_notices"), F.when(F.size("found") > 0, name).alias("license"), F.coalesce(F.when(F.size("found") > 0, top["dice"]), F.lit(0.0)).alias("dice"))
+    return scored.select("doc_id", F.size("found").cast("long").alias("n_units"), F.when(F.size("found") > 0, name).alias("license"), F.coalesce(F.when(F.size("found") > 0, top["dice"]), F.lit(0.0)).alias("dice"))

@@ -115,9 +115,9 @@ g AS (SELECT row, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(
 s AS (SELECT row_number() OVER () AS unit, row, g FROM g WHERE len(g) > 0),
 m AS (SELECT unit, row, k, license, 2.0::DOUBLE * len(list_intersect(s.g, t.g)) / (len(s.g) + len(t.g)) AS dice FROM s JOIN t ON len(s.g) BETWEEN lo AND hi),
 b AS (SELECT unit, row, max(dice) AS dice, arg_min(license, k) AS license, min(k) AS k FROM (SELECT *, max(dice) OVER (PARTITION BY unit) AS top FROM m) WHERE dice = top AND dice >= {t} GROUP BY unit, row),
-n AS (SELECT row, count(*) AS n_notices, max(dice) AS dice FROM b GROUP BY row),
+n AS (SELECT row, count(*) AS n_units, max(dice) AS dice FROM b GROUP BY row),
 f AS (SELECT b.row, arg_min(b.license, b.k) AS license FROM b JOIN n ON b.row = n.row AND b.dice = n.dice GROUP BY b.row)
-SELECT doc_id, coalesce(n_notices, 0) AS n_notices, license, coalesce(dice, 0.0::DOUBLE) AS dice FROM d LEFT JOIN n USING (row) LEFT JOIN f USING (row)"""
+SELECT doc_id, coalesce(n_units, 0) AS n_units, license, coalesce(dice, 0.0::DOUBLE) AS dice FROM d LEFT JOIN n USING (row) LEFT JOIN f USING (row)"""
 
 
 ORACLE_SQL: dict[str, str] = {

@@ -36,3 +36,74 @@ def lm_base(rows, folds=10):
         tokens = [*fold(t), None]
         out.append((i, not train(i), len(tokens), sum(c[x] > 0 for x in tokens), n, sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in tokens)))
     return out
+
+
+def shingle_set(text, size):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) or frozenset([tuple(words)])
+
+
+def near_groups(rows, size, percent=80):
+    """{row number: (n_shingles, component_id, kept)}; rows of one id are one document."""
+    sets = [shingle_set(t, size) for _, t in rows]
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, (i, _) in enumerate(rows):
+        for b, (j, _) in enumerate(rows[:a]):
+            if i is None or j is None or not sets[a] or not sets[b]:
+                continue
+            common = len(sets[a] & sets[b])
+            if 100 * common >= percent * len(sets[a] | sets[b]):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    out = []
+    for k, (i, _) in enumerate(rows):
+        c = None if i is None else find(i) if sets[k] else i
+        out.append((i, len(sets[k]), c, True if c is None else c == i))
+    return out
+
+
+def alnum_words(text):
+    import re
+
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def hits(docs, items, window=13):
+    where = []
+    for item, text in items:
+        w = alnum_words(text) if item is not None else []
+        for k in range(max(len(w) - window, 0) + 1 if w else 0):
+            where.append((str(item), tuple(w[k : k + window])))
+    out = []
+    for i, text in docs:
+        w = alnum_words(text)
+        hit, found = set(), set()
+        for item, part in where:
+            for k in range(len(w) - len(part) + 1):
+                if tuple(w[k : k + len(part)]) == part:
+                    hit.update(range(k, k + len(part)))
+                    found.add(item)
+        out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()))
+    return out
+
+
+def best(vectors, k=5, every=50):
+    import math
+
+    good = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for i, q in good:
+        if i % every == 0:
+            s = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i)[:k]
+            out += [(i, r + 1, j, -n) for r, (n, j) in enumerate(s)]
+    return sorted(out)
