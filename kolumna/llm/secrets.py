@@ -41,15 +41,15 @@ _HEX = re.compile(r"[0-9a-f]+")
 _STEMS = (b"passw", b"secret", b"token", b"api")
 
 
-def base_spans(text: str, assign: bool = True, access: bool = True, hexes: bool = True) -> list[tuple[int, str, int, int]]:
-    """(start, kind, end, start of the secret itself) of the base patterns, in order."""
+def base_spans(text: str, assign: bool = True, access: bool = True, hexes: bool = True) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of the secrets that the base patterns find, in order: of an assignment its value, else the match."""
     found = []
     if assign:
-        found += [(m.start(), "assign", m.end(), m.start(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
+        found += [(m.start(2), "assign", m.end(2)) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if access:
-        found += [(m.start(), "access", m.end(), m.start()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
+        found += [(m.start(), "access", m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     if hexes:
-        found += [(m.start(), "hex", m.end(), m.start()) for m in _HEX.finditer(text) if m.end() - m.start() >= 32]
+        found += [(m.start(), "hex", m.end()) for m in _HEX.finditer(text) if m.end() - m.start() >= 32]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
@@ -280,7 +280,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Field:
         if all(len(x) >= LINES for x in found.values()):
             break
         names.update(dict.fromkeys(w for w in t.split()[:50] if w.isalpha()))
-        spans = [(s, e) for _, _, e, s in base_spans(t)]
+        spans = [(s, e) for s, _, e in base_spans(t)]
         for f, y in _tagged(t, spans):
             sort = bool(y.any())
             if len(y) and len(found[sort]) < LINES:
@@ -290,10 +290,10 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Field:
     return Field().fit(found[True] + found[False] + made)
 
 
-def spans_of(field: Field, texts: pa.Array) -> list[list[tuple[int, str, int, int]]]:
-    """(start, kind, end, start of the secret) in each text."""
+def spans_of(field: Field, texts: pa.Array) -> list[list[tuple[int, str, int]]]:
+    """(start, kind, end) of the secrets in each text."""
     buf, offsets = textblocks.raw(texts)
-    out: list[list[tuple[int, str, int, int]]] = []
+    out: list[list[tuple[int, str, int]]] = []
     for i, j in textblocks.blocks(offsets):
         words, line, table = features(buf, offsets[i : j + 1])
         tags = field.tag(line, table)
@@ -325,14 +325,14 @@ def spans_of(field: Field, texts: pa.Array) -> list[list[tuple[int, str, int, in
                     s = len(raw[:x].decode())
                     e = s + len(raw[x:y].decode())
                     if not any(s < q and p < e for p, q in taken):
-                        spans.append((s, "crf", e, s))
+                        spans.append((s, "crf", e))
                 spans.sort(key=lambda s: (s[0], KINDS.index(s[1])))
             out.append(spans)
     return out
 
 
-def _joined(spans: list[tuple[int, str, int, int]]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for start, kind, end, _ in spans)
+def _joined(spans: list[tuple[int, str, int]]) -> str:
+    return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
 
 
 def _report(field):
@@ -358,7 +358,7 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each secret in the text replaced; of an assignment only the value goes. Texts without secrets stay as they are."""
+    """``docs`` with each secret in the text replaced; of an assignment the value goes. Texts without secrets stay as they are."""
     field = docs.sparkSession.sparkContext.broadcast(fit(docs, doc_id, text))
     at = docs.columns.index(text)
 
@@ -370,7 +370,7 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by: st
                 t = t.as_py()
                 if spans:
                     parts, done = [], 0
-                    for s, e in sorted((s[3], s[2]) for s in spans):
+                    for s, e in sorted((s[0], s[2]) for s in spans):
                         if e > done:
                             if s >= done:
                                 parts += [t[done:s], by]
