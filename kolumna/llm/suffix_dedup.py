@@ -7,7 +7,7 @@ Suffix sorting needs strings that may match in one place, so windows of
 share theirs, so a text becomes runs of windows (about 285 bytes each) under
 one key.  Only keys of two or more runs can hold repeats; their runs are
 shuffled by key and searched by interval expansion on a Burrows-Wheeler
-transform (:mod:`kolumna.llm.bwt`) in blocks of about one MB.
+transform (:mod:`kolumna.llm.bwt`) in small blocks.
 
 Equal texts are one class and equal runs one string with a multiplicity, so
 a group of copies costs one of it.  A key with more than ``HOT`` runs is
@@ -35,10 +35,10 @@ from kolumna.llm.work import saved, width
 
 LENGTH = 200
 GRAM = 32
-#: Bytes of distinct runs that one transform is built over.
-BLOCK = 1_200_000
-#: Runs of one key beyond which it is split by content: what does not fit a block.
-HOT = BLOCK // 400
+#: Bytes of distinct runs that one transform is built over (a key's runs stay together): what caches hold.
+BLOCK = 300_000
+#: Runs of one key beyond which it is split by content: about 0.9 MB, which bounds a block.
+HOT = 3_000
 
 _U = np.uint64
 
