@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kolumna.llm import textblocks
+from kolumna.llm.work import modest
 
 WINDOW, SHINGLE = 13, 4
 #: Words of items whose index makes one broadcast: about 64 bytes a word, so 16 MB at most (a longer item alone is more).
@@ -214,7 +215,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     A document is rarely worth more than a few of these words, so callers judge by n_hit against n_words."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
+    rows = modest(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
     groups: list[list[tuple[str, str]]] = [[]]
     held = 0
     # Items come in one by one and are packed into pieces; the driver holds one index at a time.

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from kolumna.llm import textblocks
 from kolumna.llm.components import components
-from kolumna.llm.work import saved, width
+from kolumna.llm.work import modest, saved, width
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 40, 5
@@ -225,7 +225,7 @@ def _within(most: int, percent: int):
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row for each document: doc_id (a whole number), n_shingles, component_id (the least id it is linked with, over any number of links) and kept."""
     most = most_differing_bits(SKETCH_FLOOR)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = modest(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signs = saved(rows.mapInArrow(_sign(shingle), "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, bands array<bigint>, sketch array<bigint>, parity binary"), "signs")
     filled = signs.where("n_shingles > 0 and doc_id is not null")
     classes = saved(filled.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n_shingles", "bands", "sketch", "parity")).alias("s")).select("set_a", "set_b", "rep", "s.*"), "classes")

@@ -6,8 +6,8 @@ with gradient and hessian histograms, then flattened into arrays (feature,
 threshold, left, right, value) that all rows go down together, one level of
 all trees a step.
 
-The labelled rows that it learns from are at most ``SAMPLE`` (those of least
-hash of the id, so reruns agree); every text is scored.
+The labelled rows that it learns from are at most ``SAMPLE`` (chosen by a hash
+of the id, so reruns agree); every text is scored.
 
 Defined cases: a null text is empty; a text without words has all statistics 0
 and is scored like any other; several labels of one id count as their least, several texts likewise;
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kolumna.llm import textblocks
+from kolumna.llm.work import chance, modest
 
 #: Labelled documents that are learnt from, at most.
 SAMPLE = 20_000
@@ -189,9 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if learn is not None:
         chosen = chosen.where(learn)
     chosen = chosen.groupBy(F.col(doc_id).alias("id")).agg(F.min(F.col(label)).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
+    chosen = chosen.where(chance(F.col("id"), sample, chosen.count())).limit(sample)
     # At most ``sample`` rows of an id and a label: a broadcast of known size.
-    known = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")
+    known = modest(docs).select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text")
     rows = known.mapInArrow(_features("y"), "y int, x array<double>").toArrow()
     y = rows.column("y").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
@@ -218,11 +219,20 @@ def scored(docs: DataFrame, model: Trees, keep: list[str], text: str = "text") -
     """The columns ``keep`` of every document and ``__score``, the probability of label 1."""
     from pyspark.sql.types import DoubleType, StructType
 
-    found = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    found = modest(docs).select(*keep, F.col(text).cast("string").alias("__text"))
     schema = StructType([*found.schema.fields[:-1]]).add("__score", DoubleType())
     return found.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), schema)
 
 
 def kept(docs: DataFrame, model: Trees, text: str = "text") -> DataFrame:
     """``docs`` without those whose score is under one half."""
-    return scored(docs, model, docs.columns, text).where(F.col("__score") >= 0.5).drop("__score")
+    at, trees = docs.columns.index(text), docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, offsets = textblocks.raw(batch.column(at))
+            for i, j in textblocks.blocks(offsets):
+                good = trees.value.score(statistics(buf, offsets[i : j + 1])) >= 0.5
+                yield batch.slice(i, j - i).filter(pa.array(good))
+
+    return modest(docs).mapInArrow(run, docs.schema)

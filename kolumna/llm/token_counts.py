@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kolumna.llm import textblocks
+from kolumna.llm.work import modest
 
 #: Pre-tokens whose counts a worker keeps between batches.
 CACHE = 200_000
@@ -117,6 +118,6 @@ def token_counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     """One row for each document: doc_id, n_bytes, n_tokens, over_limit. ``model``: the model file's path, the same on all workers."""
     kind = docs.schema[doc_id].dataType.simpleString()
     whole = F.col(text).cast("string")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(whole), F.lit(0)).cast("long").alias("n_bytes"), whole.alias("text"))
+    rows = modest(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(whole), F.lit(0)).cast("long").alias("n_bytes"), whole.alias("text"))
     found = rows.mapInArrow(_run(model), f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
     return found.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -12,7 +12,8 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -29,6 +30,20 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch on its way to Python. Spark's own limit is a number of rows, which long texts make large.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def modest(df: DataFrame) -> DataFrame:
+    """``df``; its session sends texts to Python in batches of bounded size from now on, unless its own bound is lower."""
+    conf = df.sparkSession.conf
+    now = conf.get(_BATCH)
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """``df``, written once to the shared folder and read back."""
     spark = df.sparkSession
@@ -40,3 +55,12 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session has it."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def chance(key: Column, most: int, of: int) -> Column:
+    """Whether a row falls in a sample of about nine tenths of ``most`` of ``of`` rows, by a hash of its key; all of them if they are no more than ``most``.
+
+    No sort and no rows at the driver: the same rows are chosen however they are dealt."""
+    if of <= most:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 40)) < int(0.9 * most / of * (1 << 40))
