@@ -9,7 +9,7 @@ once.  The best tags of a line come from Viterbi; lines in which no token
 comes near enough to matter (a bound that proves the all-outside path best)
 are not decoded.
 
-The field is fitted on lines of at most ``SAMPLE`` documents (those of least
+The field is fitted on lines of at most ``SAMPLE`` documents (chosen by a
 hash, so reruns agree), labelled by the base patterns, and on made-up
 lines with secrets in other surroundings; base spans always stay, and tagged
 spans that touch none of them are added.
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kolumna.llm import textblocks
+from kolumna.llm.work import chance, modest
 
 #: Documents whose lines may be used to fit, bytes of the longest of them, and lines taken of each sort.
 SAMPLE, LONGEST, LINES = 2_000, 20_000, 600
@@ -270,10 +271,13 @@ def _tagged(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[np.ndarra
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Field:
     """The field for ``docs``: fitted on the driver, on bounded samples."""
     whole = F.col(text).cast("string")
-    chosen = docs.select(F.xxhash64(F.col(doc_id)).alias("h"), F.xxhash64(whole).alias("t"), whole.alias("text")).where(F.octet_length("text") <= LONGEST)
-    # Documents with a cue first: they are rare. The sample is of lines to learn from, not of what is scanned.
-    cue = F.expr("cast(text rlike '(?i)(passw|secret|token|api_?key)' as int)")
-    pool = [r["text"] for part in (cue == 1, cue == 0) for r in chosen.where(part).orderBy("h", "t").limit(SAMPLE // 2).select("text").collect()]
+    # Half of the sample are documents with a cue, which are rare. What is scanned for secrets is every document.
+    cue = F.rlike("text", F.lit("(?i)(passw|secret|token|api_?key)"))
+    rows = docs.select(F.xxhash64(F.col(doc_id), whole).alias("key"), whole.alias("text")).where(F.octet_length("text") <= LONGEST).withColumn("cue", cue)
+    of = rows.agg(F.count_if("cue"), F.count_if(~F.col("cue"))).first()
+    chosen = rows.where(F.when(F.col("cue"), chance(F.col("key"), SAMPLE // 2, of[0])).otherwise(chance(F.col("key"), SAMPLE // 2, of[1])))
+    pool = chosen.groupBy("key").agg(F.first("cue").alias("cue"), F.first("text").alias("text")).limit(SAMPLE).collect()
+    pool = [r["text"] for r in sorted(pool, key=lambda r: (not r["cue"], r["key"]))]
     found: dict[bool, list] = {True: [], False: []}
     names: dict[str, None] = {}
     for t in pool:
@@ -353,7 +357,7 @@ def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans ("kind:start:end" joined by commas)."""
     field = docs.sparkSession.sparkContext.broadcast(fit(docs, doc_id, text))
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = modest(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(_report(field), f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
 
 
@@ -381,4 +385,4 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by: st
             columns[at] = pa.array(new, texts.type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return modest(docs).mapInArrow(run, docs.schema)
