@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kolumna.llm import textblocks
-from kolumna.llm.work import saved
+from kolumna.llm.work import modest, saved
 
 #: Bytes of text in a block.
 BLOCK = 8 << 20
@@ -90,31 +90,39 @@ def _trained(batch) -> np.ndarray:
     return textblocks.column(batch, "train").to_numpy(zero_copy_only=False)
 
 
+#: Rows that a task gathers from its batches before it sends them on.
+HELD = 4_000_000
+
+
+def _summed(blocks: list[np.ndarray], tokens: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    b, h, n = np.concatenate(blocks), np.concatenate(tokens), np.concatenate(counts)
+    by = np.lexsort((h, b))
+    b, h, n = b[by], h[by], n[by]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(new)
+    return b[at], h[at], np.add.reduceat(n, at) if len(at) else n
+
+
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, text, train) to (block, token, n): distinct tokens of the block in the batch, with their count in training texts."""
+    """(block, text, train) to (block, token, n): distinct tokens of each block, with their count in training texts."""
+    names = ["block", "token", "n"]
+    held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         buf, offsets = textblocks.raw(textblocks.column(batch, "text"))
         block, train = textblocks.column(batch, "block").to_numpy(), _trained(batch)
-        tokens, blocks, counts = [], [], []
         for i, j in textblocks.blocks(offsets):
             words = textblocks.Words(buf, offsets[i : j + 1])
+            text = words.text_of
             h = np.concatenate([words.hash.view(np.int64), np.full(j - i, END)])
-            b = np.concatenate([block[i:j][words.text_of], block[i:j]])
-            t = np.concatenate([train[i:j][words.text_of], train[i:j]])
-            by = np.lexsort((h, b))
-            h, b, t = h[by], b[by], t[by]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1])
-            at = np.flatnonzero(new)
-            tokens.append(h[at]), blocks.append(b[at]), counts.append(np.add.reduceat(t.astype(np.int64), at))
-        if tokens:
-            h, b, n = np.concatenate(tokens), np.concatenate(blocks), np.concatenate(counts)
-            by = np.lexsort((h, b))
-            h, b, n = h[by], b[by], n[by]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1])
-            at = np.flatnonzero(new)
-            yield pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array(h[at]), pa.array(np.add.reduceat(n, at))], ["block", "token", "n"])
+            held.append(_summed([block[i:j][text], block[i:j]], [h], [train[i:j][text].astype(np.int64), train[i:j].astype(np.int64)]))
+        if sum(len(x[0]) for x in held) > HELD // 2:
+            held = [_summed(*map(list, zip(*held)))]
+            if len(held[0][0]) > HELD // 4:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names)
+                held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(*map(list, zip(*held)))], names)
 
 
 def _places(words: textblocks.Words, n: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,19 +144,24 @@ def _pairs(place: np.ndarray, text: np.ndarray, begin: int) -> np.ndarray:
 
 
 def _bigrams(frequent):
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["pair", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words_ = frequent.value
-        begin = len(words_)
+        held: list[np.ndarray] = []
         for batch in batches:
             buf, offsets = textblocks.raw(textblocks.column(batch, "text"))
-            kept = []
             for i, j in textblocks.blocks(offsets):
                 words = textblocks.Words(buf, offsets[i : j + 1])
                 _, text, place = _places(words, j - i, words_)
-                key, _ = _pairs(place, text, begin)
-                kept.append(key[key >= 0])
-            key, n = np.unique(np.concatenate(kept) if kept else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["pair", "n"])
+                key, _ = _pairs(place, text, len(words_))
+                held.append(key[key >= 0])
+            if sum(map(len, held)) > HELD:
+                yield counted(held)
+                held = []
+        yield counted(held)
 
     return run
 
@@ -204,7 +217,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
     size = docs.agg(F.sum(F.octet_length(whole).cast("long"))).first()[0] or 0
     n = max(1, math.ceil(size / block))
     train = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds != 0, F.lit(False))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), whole.alias("text"), train.alias("train")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("long"))
+    rows = modest(docs).select(F.col(doc_id).alias("doc_id"), whole.alias("text"), train.alias("train")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("long"))
 
     seen = saved(rows.select("block", "text", "train").repartition(n, "block").mapInArrow(_vocabulary, "block bigint, token bigint, n bigint"), "tokens")
     counts = saved(seen.where("n > 0").groupBy("token").agg(F.sum("n").alias("n")), "counts")
@@ -223,4 +236,5 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
 
     own = seen.select("block", "token").join(counts, "token").select("block", "token", "n")
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return rows.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(_score(total, distinct, model), out)
+    # Both sides are dealt by block to as many partitions as there are blocks, so a task's share does not grow with the input.
+    return rows.repartition(n, "block").groupBy("block").cogroup(own.repartition(n, "block").groupBy("block")).applyInArrow(_score(total, distinct, model), out)
