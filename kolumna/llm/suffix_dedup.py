@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kolumna.llm import bwt, textblocks
-from kolumna.llm.work import saved, width
+from kolumna.llm.work import modest, saved, width
 
 LENGTH = 200
 GRAM = 32
@@ -39,6 +39,8 @@ GRAM = 32
 BLOCK = 300_000
 #: Runs of one key beyond which it is split by content: about 0.9 MB, which bounds a block.
 HOT = 3_000
+#: Bytes of distinct runs that a task gathers before it sends them on.
+HELD = 16 << 20
 
 _U = np.uint64
 
@@ -120,39 +122,45 @@ def _find_runs(length: int):
 
 
 def _run_rows(length: int, whole: bool):
-    """Candidate texts to their runs: distinct within the batch with the strings (whole), or each occurrence in a text that has no copy."""
+    """Candidate texts to their runs: distinct ones with their strings (whole), or each place of one in a text that has no copy."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[bytes, list] = {}
-            keys, starts, ids = [], [], []
-            for row in batch.to_pylist():
-                text, single = row["text"], row["copies"] == 1
-                if not (whole or single):
-                    continue
+    def runs_of(batch: pa.RecordBatch) -> Iterator[tuple[dict, int, int, int, bytes, bytes]]:
+        for row in batch.to_pylist():
+            if whole or row["copies"] == 1:
+                text = row["text"]
                 for key, start, size, among in (r.values() for r in row["runs"]):
                     string = text[start : start + size - 1 + length]
-                    run_id = hashlib.md5(key.to_bytes(8, "little", signed=True) + string).digest()
-                    if whole:
-                        known = found.get(run_id)
-                        if known is None:
-                            found[run_id] = [key, among, string, 1 if single else 2]
-                        else:
-                            known[3] += 1
-                    else:
-                        keys.append(row["text_key"])
-                        starts.append(start)
-                        ids.append(run_id)
-            if whole:
-                cols = list(zip(*found.values())) or [[], [], [], []]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(found), pa.binary()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64())],
-                    ["run_id", "key", "among", "string", "times"],
-                )
-            else:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int32()), pa.array(ids, pa.binary())], ["text_key", "start", "run_id"])
+                    yield row, key, start, among, string, hashlib.md5(key.to_bytes(8, "little", signed=True) + string).digest()
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            cols = list(zip(*found.values())) or [[], [], [], []]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(found), pa.binary()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.int64())],
+                ["run_id", "key", "among", "string", "times"],
+            )
+
+        found: dict[bytes, list] = {}
+        held = 0
+        for batch in batches:
+            for row, key, _, among, string, run_id in runs_of(batch):
+                known = found.get(run_id)
+                if known is None:
+                    found[run_id] = [key, among, string, 1 if row["copies"] == 1 else 2]
+                    held += len(string)
+                else:
+                    known[3] += 1
+            if held > HELD:
+                yield flush()
+                found, held = {}, 0
+        yield flush()
 
-    return run
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(zip(*((row["text_key"], start, run_id) for row, _, start, _, _, run_id in runs_of(batch)))) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["text_key", "start", "run_id"])
+
+    return strings if whole else places
 
 
 def _search(length: int, block: int):
@@ -231,7 +239,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def text_classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """(text_hash, text_key, n_bytes, text) for each row: the text's SHA-256 and its first half, which stands for the text below."""
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    found = docs.select(whole.alias("text"))
+    found = modest(docs).select(whole.alias("text"))
     return found.select(F.sha2("text", 256).alias("text_hash"), F.octet_length("text").cast("long").alias("n_bytes"), "text").withColumn("text_key", F.substring(F.unhex("text_hash"), 1, 16))
 
 
