@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kolumna.llm.work import saved
+from kolumna.llm.work import forget, saved
 
 
 def _round(links: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
     now = saved(links.where("a <> b").select("a", "b").distinct(), "links")
     mark = None
     while True:
-        now = saved(_round(now), "links")
+        last, now = now, saved(_round(now), "links")
+        forget(last)
         then = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if tuple(then) == mark:
             break

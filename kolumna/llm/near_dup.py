@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from kolumna.llm import textblocks
 from kolumna.llm.components import components
-from kolumna.llm.work import modest, saved, width
+from kolumna.llm.work import forget, modest, saved, width
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS = 40, 5
@@ -247,7 +247,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spokes = members.join(buckets, "bucket").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     again = filled.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     same = filled.join(again, "doc_id", "left_semi").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("rep <> doc_id").select(F.least("rep", "doc_id").alias("a"), F.greatest("rep", "doc_id").alias("b"))
-    first = saved(links(saved(near(spokes), "pairs")).unionByName(same).distinct(), "links")
+    candidates = saved(near(spokes), "pairs")
+    first = saved(links(candidates).unionByName(same).distinct(), "links")
+    forget(candidates)
     joined = saved(components(first), "components")
 
     # What a bucket holds in several components, beside the pairs with its least class, which were compared.
@@ -264,6 +266,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     else:
         more = saved(links(second), "links")
         final = joined if more.isEmpty() else saved(components(first.unionByName(more)), "components")
+    forget(second)
 
     named = classes.select("set_a", "set_b", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = signs.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")

@@ -8,9 +8,12 @@ of this process stands in.
 
 from __future__ import annotations
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,9 @@ from pyspark.sql import functions as F
 
 @functools.cache
 def _own() -> str:
-    return tempfile.mkdtemp(prefix="kolumna-work-")
+    path = tempfile.mkdtemp(prefix="kolumna-work-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def folder(spark: SparkSession) -> str:
@@ -49,7 +54,21 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/kolumna-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[found] = path
+    return found
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def forget(saved_: DataFrame) -> None:
+    """Remove a table that :func:`saved` wrote and that no frame still to be run reads."""
+    path = _paths.pop(saved_, None)
+    if path:
+        spark = saved_.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def width(spark: SparkSession) -> int:

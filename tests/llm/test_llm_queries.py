@@ -1,0 +1,79 @@
+"""The registered queries over the smallest tables: against DuckDB where SQL can express them, else against plain versions."""
+
+import os
+import zlib
+
+import duckdb
+import pytest
+
+import brute
+from kolumna.llm import queries
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+@pytest.fixture(scope="module")
+def oracle():
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "benchmark", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
+    return con
+
+
+@pytest.fixture(scope="module")
+def texts(oracle):
+    return oracle.sql("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
+
+
+@pytest.mark.parametrize("name", queries.ORACLE_SQL)
+def test_agrees(spark, oracle, name):
+    want = oracle.sql(queries.ORACLE_SQL[name])
+    columns = sorted(want.columns)
+    df = queries.QUERIES[name](spark, DATA)
+    assert sorted(df.columns) == columns
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == sorted(want.select(*columns).fetchall(), key=repr)
+
+
+def test_quality(spark, texts, oracle):
+    got = queries.op1_quality(spark, DATA).collect()
+    assert sorted(r["doc_id"] for r in got) == [i for i, _ in texts]
+    labels = dict(oracle.sql("SELECT doc_id, quality FROM labels").fetchall())
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1
+    held = [r for r in got if r["held_out"] and r["doc_id"] in labels]
+    assert sum(r["predicted"] == labels[r["doc_id"]] for r in held) >= 0.9 * len(held)
+
+
+def test_suffix_dedup(spark, texts):
+    got = sorted(tuple(r) for r in queries.op2_suffix_dedup(spark, DATA).collect())
+    assert got == [(i, *x) for (i, _), x in zip(texts, brute.removal([t for _, t in texts]))]
+
+
+def test_token_counts(spark, texts):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizers.path("piece_bpe_32k.model"))
+    got = sorted(tuple(r) for r in queries.op8_token_counts(spark, DATA).collect())
+    assert got == [(i, len(t.encode()), n := len(model.encode(t)), n > 4096) for i, t in texts]
+
+
+def test_secrets(spark, texts):
+    from kolumna.llm import secrets
+
+    got = {r["doc_id"]: r for r in queries.op9_secrets(spark, DATA).collect()}
+    for i, t in texts:
+        base = secrets._joined(secrets.base_spans(t))
+        assert [p for p in got[i]["spans"].split(",") if not p.startswith("crf")] == base.split(",")
+
+
+def test_lm_score(spark, texts):
+    got = sorted(tuple(r) for r in queries.op10_lm_score(spark, DATA).collect())
+    for g, w in zip(got, brute.lm_base(texts), strict=True):
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5])
+
+
+def test_names():
+    numbers = sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES)
+    assert numbers == list(range(1, 11))
