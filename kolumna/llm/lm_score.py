@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kolumna.llm import textblocks
 from kolumna.llm.work import modest, saved
@@ -219,8 +220,12 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
     train = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds != 0, F.lit(False))
     rows = modest(docs).select(F.col(doc_id).alias("doc_id"), whole.alias("text"), train.alias("train")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("long"))
 
-    seen = saved(rows.select("block", "text", "train").repartition(n, "block").mapInArrow(_vocabulary, "block bigint, token bigint, n bigint"), "tokens")
-    counts = saved(seen.where("n > 0").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    seen = rows.select("block", "text", "train").repartition(n, "block").mapInArrow(_vocabulary, "block bigint, token bigint, n bigint")
+    # A token has a row for each block (or two), however common it is: one shuffle gives every block the totals of its tokens.
+    each = Window.partitionBy("token").orderBy("block")
+    sums = seen.select("block", "token", F.sum("n").over(each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"), (F.row_number().over(each) == 1).alias("first"))
+    own = saved(sums.where("n > 0"), "tokens")
+    counts = own.where("first").select("token", "n")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     unit = max(1, math.ceil(rare * total))
 
@@ -234,7 +239,6 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
     filter_ = LogFrequencyFilter(np.concatenate([pair, _context(first)]), np.concatenate([number, kept]), unit)
     model = sc.broadcast((frequent, filter_))
 
-    own = seen.select("block", "token").join(counts, "token").select("block", "token", "n")
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     # Both sides are dealt by block to as many partitions as there are blocks, so a task's share does not grow with the input.
-    return rows.repartition(n, "block").groupBy("block").cogroup(own.repartition(n, "block").groupBy("block")).applyInArrow(_score(total, distinct, model), out)
+    return rows.repartition(n, "block").groupBy("block").cogroup(own.select("block", "token", "n").repartition(n, "block").groupBy("block")).applyInArrow(_score(total, distinct, model), out)
