@@ -186,6 +186,18 @@ def _hits(index):
     return run
 
 
+def _alone(index):
+    """Of one piece of items: hits and their digests in one go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _hits(index)(batches):
+            n = np.arange(len(batch) + 1, dtype=np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(n), textblocks.column(batch, c)) for c in ("spans", "items")]
+            yield from _digest(iter([pa.RecordBatch.from_arrays([textblocks.column(batch, "doc_id"), textblocks.column(batch, "n_words"), *lists], ["doc_id", "n_words", "parts", "lists"])]))
+
+    return run
+
+
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_hit, n_items, shas, spans, found = [], [], [], [], []
@@ -225,6 +237,7 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
             held = 0
         groups[-1].append((r[0], r[1]))
         held += len(r[1]) // 2
+    out = f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, spans array<struct<start:bigint,end:bigint>>, items array<string>"
     found = None
     for group in groups:
         index = Index(group, window)
@@ -234,15 +247,13 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
             for r in rows.select("text").mapInArrow(_count(tokens), "size int, token bigint, n bigint").groupBy("size", "token").agg(F.sum("n").alias("n")).collect():
                 counts[r["size"]][r["token"]] = r["n"]
         chosen = spark.sparkContext.broadcast(index.choose(counts))
+        if len(groups) == 1:
+            return rows.mapInArrow(_alone(chosen), out)
         one = rows.mapInArrow(_hits(chosen), f"doc_id {kind}, key string, n_words bigint, spans array<bigint>, items array<string>")
         found = one if found is None else found.unionByName(one)
-    out = f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, spans array<struct<start:bigint,end:bigint>>, items array<string>"
-    if len(groups) == 1:
-        ready = found.select("doc_id", "n_words", F.array("spans").alias("parts"), F.array("items").alias("lists"))
-    else:  # every piece has a row for each document: rows that are equal in id and text share one, as often as they came
-        together = found.groupBy("doc_id", "key").agg(F.first("n_words").alias("n_words"), F.collect_set("spans").alias("parts"), F.collect_set("items").alias("lists"), (F.count("*") / len(groups)).cast("int").alias("times"))
-        ready = together.select("doc_id", "n_words", "parts", "lists", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("_")).drop("_")
-    return ready.mapInArrow(_digest, out)
+    # Every piece has a row for each document: rows that are equal in id and text share one, as often as they came.
+    together = found.groupBy("doc_id", "key").agg(F.first("n_words").alias("n_words"), F.collect_set("spans").alias("parts"), F.collect_set("items").alias("lists"), (F.count("*") / len(groups)).cast("int").alias("times"))
+    return together.select("doc_id", "n_words", "parts", "lists", F.explode(F.array_repeat(F.lit(0), F.col("times"))).alias("_")).drop("_").mapInArrow(_digest, out)
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = 20) -> DataFrame:
