@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kolumna.llm.work import modest
+
 K = 5
 #: Vectors and queries of a block.
 DATA, QUERIES = 8192, 2048
@@ -167,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: str, vec_id: str = "vec_id", embedding:
     v = F.col(embedding)
     usable = v.isNotNull() & F.col(vec_id).isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     # The number of a row in the scan only deals rows to blocks: rows of one id must not meet in one block.
-    rows = vectors.where(usable).select(F.col(vec_id).cast("long").alias("id"), v.cast("array<double>").alias("v")).withColumn("row", F.monotonically_increasing_id())
+    rows = modest(vectors).where(usable).select(F.col(vec_id).cast("long").alias("id"), v.cast("array<double>").alias("v")).withColumn("row", F.monotonically_increasing_id())
     n, m = rows.agg(F.count("*"), F.coalesce(F.sum(F.expr(is_query).cast("int")), F.lit(0))).first()
     n, m = max(1, math.ceil(n / data_block)), max(1, math.ceil(m / query_block))
     deal = lambda seed, parts: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(parts)).cast("int")

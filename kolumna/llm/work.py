@@ -10,10 +10,13 @@ from __future__ import annotations
 
 import atexit
 import functools
+import hashlib
+import pathlib
 import shutil
 import tempfile
 import uuid
 import weakref
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,8 +43,29 @@ BATCH_BYTES = 8 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
+_sent: set[str] = set()
+
+
+def _send(spark: SparkSession) -> None:
+    """Give this package to the application's Python workers, which may run where it is not installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _sent:
+        return
+    package = pathlib.Path(__file__).resolve().parents[1]
+    files = sorted(package.rglob("*.py"))
+    mark = hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
+    archive = f"{tempfile.mkdtemp(prefix='kolumna-package-')}/{package.name}-{mark}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in files:
+            z.write(p, p.relative_to(package.parent).as_posix())
+    sc.addPyFile(archive)
+    _sent.add(sc.applicationId)
+
+
 def modest(df: DataFrame) -> DataFrame:
-    """``df``; its session sends texts to Python in batches of bounded size from now on, unless its own bound is lower."""
+    """``df``, ready for Python stages: its workers have this package, and from now on its session
+    sends them batches of bounded size, unless its own bound is lower."""
+    _send(df.sparkSession)
     conf = df.sparkSession.conf
     now = conf.get(_BATCH)
     if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
