@@ -51,7 +51,7 @@ def main() -> None:
     parts = str(max(1, int(CPUS)))
     spark = session(
         f"local[{CPUS}]", "bench", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__sql__shuffle__partitions=parts, spark__driver__memory="8g",
-        spark__sql__files__maxPartitionBytes="16m", spark__sql__files__openCostInBytes="1m", spark__log__level="ERROR",
+        spark__sql__files__maxPartitionBytes="16m", spark__sql__files__openCostInBytes="1m", spark__log__level="ERROR", spark__sql__inMemoryColumnarStorage__compressed="false", spark__sql__inMemoryColumnarStorage__batchSize="65536",
     )
     root = tempfile.mkdtemp(prefix="kolumna-bench-")
     found = {}
