@@ -1,20 +1,20 @@
 """Language-model scores of documents, with n-gram counts in a log-frequency Bloom filter.
 
-Unigram counts are exact.  They are learnt and looked up by blocks of documents:
-a block (about ``BLOCK`` bytes of text, dealt by a hash of the document) sends
-each distinct token once, totals are made by token, and each block gets the
-counts of its own tokens back.  So nothing that grows with the vocabulary is
-broadcast, and a token as common as "the" costs one row for each block.
-
-Bigrams of a relative frequency of ``RARE`` or more sit in a log-frequency
-Bloom filter: a bigram of quantised count q is stored as (bigram, 1) to
-(bigram, q), and reading it back probes 1, 2, ... until the first miss.  At
-most 1 / ``RARE`` bigrams can be that frequent, whatever the corpus; so can
-their words, which is why only pairs of such words are counted.  The filter,
-and the list of those words, are therefore bounded (about 5 MB and 8 MB) and
-broadcast.  The score of a word after another is
-
-    (count of both + MU * unigram probability) / (count of the first's kept bigrams + MU)
+Counts are learnt and looked up by blocks of documents (about ``BLOCK`` bytes of
+text, dealt by a hash of the document).  A block sends each distinct token and
+bigram once, as sorted hashes with their counts in training texts; they go to
+shards, which divide the range of the hashes; a shard makes totals, and sends
+each block its answers in the order in which the block asked.  So nothing that
+grows with the vocabulary is broadcast, a token as common as "the" costs one
+entry for each block, and there are as many shards as the input needs, each of
+about two blocks' entries.
+
+Unigram totals are exact.  All bigrams of training texts, however rare, are in
+the filter, which has a part in each shard: a bigram of quantised count q is
+stored as (bigram, 1) to (bigram, q), and reading it back probes 1, 2, ... until
+the first miss.  The score of a word after another is
+
+    (count of both + MU * unigram probability) / (count of the first + MU)
 
 Defined cases: null text is empty and holds the end token alone; a null id is
 held out; with nothing to learn from, each token has probability 1.
@@ -29,15 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from kolumna.llm import textblocks
 from kolumna.llm.work import modest, saved
 
-#: Bytes of text in a block.
-BLOCK = 8 << 20
-#: Least relative frequency of a bigram in the filter.
-RARE = 1e-6
+#: Bytes of text in a block, and blocks to a shard.
+BLOCK, TOGETHER = 8 << 20, 2
+#: Bits of the hashes of tokens and bigrams on their way.
+TOKEN_BITS, PAIR_BITS = 64, 48
 #: Steps of the quantised counts to a doubling, and weight of the unigram estimate.
 STEPS, MU = 2, 50.0
 #: Probes for one entry, and bits for each.
@@ -45,7 +44,7 @@ PROBES, BITS = 8, 12
 
 _U = np.uint64
 #: Hashes of the token that ends each text and of the place before its first word.
-END, BEGIN = (int(x) for x in textblocks.mix(np.array([0xE0D, 0xB0], _U)).view(np.int64))
+END, BEGIN = textblocks.mix(np.array([0xE0D, 0xB0], _U))
 
 
 class LogFrequencyFilter:
@@ -72,8 +71,8 @@ class LogFrequencyFilter:
             yield (h >> _U(64 - self.bits)).astype(np.int64)
             h = h + step
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of the keys, 0 for those that are not in the filter."""
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Quantised counts of the keys, 0 for those that are not in the filter."""
         level = np.zeros(len(keys), np.int64)
         live = np.arange(len(keys))
         for q in range(1, self.most + 1):
@@ -84,135 +83,136 @@ class LogFrequencyFilter:
             if not len(live):
                 break
             level[live] = q
-        return np.where(level > 0, self.unit * 2.0 ** ((level - 0.5) / STEPS), 0.0)
+        return level
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of the keys, 0 for those that are not in the filter."""
+        return _middle(self.levels(keys), self.unit)
+
+
+def _middle(level: np.ndarray, unit: float = 1) -> np.ndarray:
+    return np.where(level > 0, unit * 2.0 ** ((level - 0.5) / STEPS), 0.0)
 
 
 def _trained(batch) -> np.ndarray:
     return textblocks.column(batch, "train").to_numpy(zero_copy_only=False)
 
 
-#: Rows that a task gathers from its batches before it sends them on.
-HELD = 4_000_000
-
-
-def _summed(blocks: list[np.ndarray], tokens: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    b, h, n = np.concatenate(blocks), np.concatenate(tokens), np.concatenate(counts)
-    by = np.lexsort((h, b))
-    b, h, n = b[by], h[by], n[by]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (b[1:] != b[:-1])
-    at = np.flatnonzero(new)
-    return b[at], h[at], np.add.reduceat(n, at) if len(at) else n
-
-
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, text, train) to (block, token, n): distinct tokens of each block, with their count in training texts."""
-    names = ["block", "token", "n"]
-    held: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        buf, offsets = textblocks.raw(textblocks.column(batch, "text"))
-        block, train = textblocks.column(batch, "block").to_numpy(), _trained(batch)
-        for i, j in textblocks.blocks(offsets):
-            words = textblocks.Words(buf, offsets[i : j + 1])
-            text = words.text_of
-            h = np.concatenate([words.hash.view(np.int64), np.full(j - i, END)])
-            held.append(_summed([block[i:j][text], block[i:j]], [h], [train[i:j][text].astype(np.int64), train[i:j].astype(np.int64)]))
-        if sum(len(x[0]) for x in held) > HELD // 2:
-            held = [_summed(*map(list, zip(*held)))]
-            if len(held[0][0]) > HELD // 4:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names)
-                held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(*map(list, zip(*held)))], names)
-
-
-def _places(words: textblocks.Words, n: int, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token (words and, last in each text, the end): hash, text, and place in the sorted frequent list or -1."""
-    text = np.concatenate([words.text_of, np.arange(n)])
-    h = np.concatenate([words.hash.view(np.int64), np.full(n, END)])
-    by = np.argsort(text, kind="stable")
-    h, text = h[by], text[by]
-    at = np.searchsorted(frequent, h)
-    at[at == len(frequent)] = 0
-    return h, text, np.where(frequent[at] == h, at, -1) if len(frequent) else np.full(len(h), -1)
-
-
-def _pairs(place: np.ndarray, text: np.ndarray, begin: int) -> np.ndarray:
-    """For each token the key of it and the one before (of the frequent list), or -1."""
-    before = np.concatenate([[begin], place[:-1]])
-    before[np.concatenate([[True], text[1:] != text[:-1]])] = begin
-    return np.where((place >= 0) & (before >= 0), (before << 24) | place, -1), before
-
-
-def _bigrams(frequent):
-    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.int64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["pair", "n"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_ = frequent.value
-        held: list[np.ndarray] = []
-        for batch in batches:
-            buf, offsets = textblocks.raw(textblocks.column(batch, "text"))
-            for i, j in textblocks.blocks(offsets):
-                words = textblocks.Words(buf, offsets[i : j + 1])
-                _, text, place = _places(words, j - i, words_)
-                key, _ = _pairs(place, text, len(words_))
-                held.append(key[key >= 0])
-            if sum(map(len, held)) > HELD:
-                yield counted(held)
-                held = []
-        yield counted(held)
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes as the greatest needs, all lowest bytes first."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8, offset=1).reshape(packed[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : packed[0]] = planes.T
+    return out.view("<u8").ravel().astype(_U, copy=False)
+
+
+def _starts(shards: int, bits: int) -> np.ndarray:
+    """The least hash of each shard."""
+    return np.array([-(-(k << bits) // shards) for k in range(shards)], _U)
+
+
+def _keys(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token (words and, last in each text, the end): its text, its hash, that of it and the one before, and whether it is the first."""
+    buf, offsets = textblocks.raw(textblocks.column(docs, "text"))
+    texts, tokens = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
+    for i, j in textblocks.blocks(offsets):
+        words = textblocks.Words(buf, offsets[i : j + 1])
+        text = np.concatenate([words.text_of, np.arange(j - i)])
+        by = np.argsort(text, kind="stable")
+        texts.append(text[by] + i)
+        tokens.append(np.concatenate([words.hash, np.full(j - i, END)])[by])
+    text, token = np.concatenate(texts), np.concatenate(tokens)
+    first = np.ones(len(text), bool)
+    first[1:] = text[1:] != text[:-1]
+    before = np.concatenate([token[:1], token[:-1]])
+    before[first] = BEGIN
+    return text, token, textblocks.mix(textblocks.mix(before) * _U(0x9E3779B97F4A7C15) + token) >> _U(64 - PAIR_BITS), first
+
+
+def _asked(shards: int):
+    """A block's documents to its distinct tokens and bigrams, by shard, with their counts in training texts."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        text, token, pair, _ = _keys(docs)
+        train = _trained(docs)[text].astype(np.int64)
+        cols: list[list[bytes]] = []
+        for key, bits in ((token, TOKEN_BITS), (pair, PAIR_BITS)):
+            key, at = np.unique(key, return_inverse=True)
+            n = np.bincount(at, train, minlength=len(key)).astype(_U)
+            starts = _starts(shards, bits)
+            cut = [*np.searchsorted(key, starts).tolist(), len(key)]
+            parts = list(zip(cut, cut[1:], starts))
+            cols += [[_pack(np.diff(key[a:b], prepend=start)) for a, b, start in parts], [_pack(n[a:b]) for a, b, _ in parts]]
+        at = [k for k in range(shards) if len(cols[0][k]) > 1 or len(cols[2][k]) > 1]
+        block = textblocks.column(docs, "block")[0].as_py()
+        return pa.Table.from_arrays([pa.array(at, pa.int64()), pa.array([block] * len(at), pa.int64()), *(pa.array([c[k] for k in at], pa.binary()) for c in cols)], names=["shard", "block", "tokens", "token_n", "pairs", "pair_n"])
 
     return run
 
 
-def _context(place: np.ndarray) -> np.ndarray:
-    return place | (1 << 60)
-
-
-def _score(total: int, distinct: int, model):
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        frequent, filter_ = model.value
-        token, n = (textblocks.column(counts, c).to_numpy() for c in ("token", "n"))
-        by = np.argsort(token, kind="stable")
-        token, n = token[by], n[by]
-        buf, offsets = textblocks.raw(textblocks.column(docs, "text"))
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for i, j in textblocks.blocks(offsets):
-            words = textblocks.Words(buf, offsets[i : j + 1])
-            h, text, place = _places(words, j - i, frequent)
-            at = np.searchsorted(token, h)
-            at[at == len(token)] = 0
-            c = np.where(token[at] == h, n[at], 0) if len(token) else np.zeros(len(h), np.int64)
-            unigram = (c + 0.1) / (total + 0.1 * (distinct + 1))
-            key, before = _pairs(place, text, len(frequent))
-            both, first = np.zeros(len(h)), np.zeros(len(h))
-            k = np.flatnonzero(key >= 0)
-            both[k] = filter_.counts(key[k])
-            k = np.flatnonzero(before >= 0)
-            first[k] = filter_.counts(_context(before[k]))
-            probability = (both + MU * unigram) / (np.maximum(first, both) + MU)
-            rows = j - i
-            out[0].append(np.bincount(text, minlength=rows))
-            out[1].append(np.bincount(text, c > 0, minlength=rows).astype(np.int64))
-            out[2].append(np.bincount(text, np.log10(unigram), minlength=rows))
-            out[3].append(np.bincount(text, np.log10(probability), minlength=rows))
-        held = pa.array(~_trained(docs)) if len(docs) else pa.array([], pa.bool_())
-        cols = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, float, float))]
+def _answered(shards: int):
+    """What blocks ask of a shard to each block's answers: totals of its tokens, levels of its bigrams; and, in one row, the shard's sums."""
+
+    def totals(keys: list[bytes], counts: list[bytes], start: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        each = [np.cumsum(_unpack(k)) + start for k in keys]
+        key, at = np.unique(np.concatenate(each), return_inverse=True)
+        n = np.bincount(at, np.concatenate([_unpack(c) for c in counts]), minlength=len(key)).astype(np.int64)
+        return key, n, at, np.cumsum([0, *map(len, each)]).tolist()
+
+    def run(asked: pa.Table) -> pa.Table:
+        shard = textblocks.column(asked, "shard")[0].as_py()
+        tokens, token_n, pairs, pair_n = (textblocks.column(asked, c).to_pylist() for c in ("tokens", "token_n", "pairs", "pair_n"))
+        _, n, at, cut = totals(tokens, token_n, _starts(shards, TOKEN_BITS)[shard])
+        answers = [_pack(n[at[a:b]].astype(_U)) for a, b in zip(cut, cut[1:])]
+        key, m, at, cut = totals(pairs, pair_n, _starts(shards, PAIR_BITS)[shard])
+        filter_ = LogFrequencyFilter(key[m > 0], m[m > 0], 1)
+        level = filter_.levels(key)
+        levels = [_pack(level[at[a:b]].astype(_U)) for a, b in zip(cut, cut[1:])]
+        rest = [0] * (len(answers) - 1)
         return pa.Table.from_arrays(
-            [textblocks.column(docs, "doc_id"), held, pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(np.full(len(docs), total), pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            [textblocks.column(asked, "block"), textblocks.column(asked, "shard"), pa.array(answers, pa.binary()), pa.array(levels, pa.binary()), pa.array([int(n.sum()), *rest], pa.int64()), pa.array([int((n > 0).sum()), *rest], pa.int64())],
+            names=["block", "shard", "token_n", "levels", "total", "seen"],
         )
 
     return run
 
 
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, block: int = BLOCK, rare: float = RARE) -> DataFrame:
+def _score(total: int, distinct: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        text, token, pair, begins = _keys(docs)
+        by = np.argsort(textblocks.column(answers, "shard").to_numpy())
+        token_n, levels = ([c[k] for k in by] for c in (textblocks.column(answers, x).to_pylist() for x in ("token_n", "levels")))
+        distinct_tokens, at = np.unique(token, return_inverse=True)
+        n = np.concatenate([np.zeros(0, _U), *map(_unpack, token_n)]).astype(np.int64)
+        c = n[at]
+        unigram = (c + 0.1) / (total + 0.1 * (distinct + 1))
+        # A word of training texts is followed by one as often as it occurs; their beginnings are as many as their ends.
+        first = np.concatenate([c[:1], c[:-1]])
+        first[begins] = n[np.searchsorted(distinct_tokens, END)] if len(n) else 0
+        _, at = np.unique(pair, return_inverse=True)
+        both = _middle(np.concatenate([np.zeros(0, _U), *map(_unpack, levels)]).astype(np.int64))[at]
+        probability = (both + MU * unigram) / (np.maximum(first, both) + MU)
+        rows = len(docs)
+        return pa.Table.from_arrays(
+            [
+                textblocks.column(docs, "doc_id"), pa.array(~_trained(docs)) if rows else pa.array([], pa.bool_()), pa.array(np.bincount(text, minlength=rows), pa.int64()), pa.array(np.bincount(text, c > 0, minlength=rows).astype(np.int64)),
+                pa.array(np.full(rows, total), pa.int64()), pa.array(np.bincount(text, np.log10(unigram), minlength=rows)), pa.array(np.bincount(text, np.log10(probability), minlength=rows)),
+            ],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    return run
+
+
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, block: int = BLOCK) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Learns from the documents of which crc32(id as text) mod ``folds`` is not 0."""
-    sc = docs.sparkSession.sparkContext
     kind = docs.schema[doc_id].dataType.simpleString()
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(whole).cast("long"))).first()[0] or 0
@@ -220,25 +220,11 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
     train = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds != 0, F.lit(False))
     rows = modest(docs).select(F.col(doc_id).alias("doc_id"), whole.alias("text"), train.alias("train")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("long"))
 
-    seen = rows.select("block", "text", "train").repartition(n, "block").mapInArrow(_vocabulary, "block bigint, token bigint, n bigint")
-    # A token has a row for each block (or two), however common it is: one shuffle gives every block the totals of its tokens.
-    each = Window.partitionBy("token").orderBy("block")
-    sums = seen.select("block", "token", F.sum("n").over(each.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"), (F.row_number().over(each) == 1).alias("first"))
-    own = saved(sums.where("n > 0"), "tokens")
-    counts = own.where("first").select("token", "n")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    unit = max(1, math.ceil(rare * total))
-
-    # At most 1 / rare words are so frequent, and at most 1 / rare bigrams of them (unit >= rare * total).
-    frequent = np.sort(counts.where(F.col("n") >= unit).select("token").toPandas()["token"].to_numpy(np.int64))
-    listed = sc.broadcast(frequent)
-    pairs = rows.where("train").select("text").mapInArrow(_bigrams(listed), "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= unit).toPandas()
-    pair, number = pairs["pair"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
-    first, at = np.unique(pair >> 24, return_inverse=True)
-    kept = np.bincount(at, number, minlength=len(first))
-    filter_ = LogFrequencyFilter(np.concatenate([pair, _context(first)]), np.concatenate([number, kept]), unit)
-    model = sc.broadcast((frequent, filter_))
+    # All sides are dealt to as many partitions as there are blocks or shards, so a task's share does not grow with the input.
+    shards = max(1, math.ceil(n / TOGETHER))
+    asked = rows.select("block", "text", "train").repartition(n, "block").groupBy("block").applyInArrow(_asked(shards), "shard bigint, block bigint, tokens binary, token_n binary, pairs binary, pair_n binary")
+    answers = saved(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_answered(shards), "block bigint, shard bigint, token_n binary, levels binary, total bigint, seen bigint"), "answers")
+    total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
 
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    # Both sides are dealt by block to as many partitions as there are blocks, so a task's share does not grow with the input.
-    return rows.repartition(n, "block").groupBy("block").cogroup(own.select("block", "token", "n").repartition(n, "block").groupBy("block")).applyInArrow(_score(total, distinct, model), out)
+    return rows.repartition(n, "block").groupBy("block").cogroup(answers.select("block", "shard", "token_n", "levels").repartition(n, "block").groupBy("block")).applyInArrow(_score(total, distinct), out)

@@ -324,6 +324,26 @@ def test_model_beats_unigrams_on_texts_held_out(spark):
     assert held[0] / held[2] > held[1] / held[2] + 0.3
 
 
+def test_every_bigram_of_training_texts_counts(spark):
+    import zlib
+
+    learnt, held = ([i for i in range(100) if (zlib.crc32(str(i).encode()) % 10 != 0) == t] for t in (True, False))
+    texts = ["x " * 1_200_000, "red green", "blue gold"]  # a million tokens or more: a bigram seen once is rarer than 1e-6
+    docs = [*zip(learnt, texts), (held[0], "red green"), (held[1], "red gold")]
+    count, total = {"red": 1, "green": 1, "blue": 1, "gold": 1, "x": 1_200_000, None: 3}, 1_200_007
+
+    def plain(words, seen):
+        p = [(count[w] + 0.1) / (total + 0.1 * 7) for w in words]
+        once = 2 ** (0.5 / lm_score.STEPS)  # a count of one, read back from the filter
+        return sum(math.log10((once * s + lm_score.MU * q) / (max(c, once * s) + lm_score.MU)) for q, s, c in zip(p, seen, (3, *(count[w] for w in words[:-1]))))
+
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    for block in (lm_score.BLOCK, 300_000):  # one shard, and several
+        got = {r["doc_id"]: r["score"] for r in lm_score.scores(frame, block=block).collect()}
+        assert got[held[0]] == pytest.approx(plain(["red", "green", None], (1, 1, 1)))
+        assert got[held[1]] == pytest.approx(plain(["red", "gold", None], (1, 0, 1)))
+
+
 def test_filter_reads_back_counts():
     rng = np.random.default_rng(4)
     keys, counts = rng.integers(-(2**62), 2**62, 5000), rng.integers(7, 100_000, 5000)
