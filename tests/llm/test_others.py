@@ -182,6 +182,37 @@ def test_licence_notices(spark, odd_docs, no_docs, clashing):
     assert licenses.license_notices(clashing).count() == odd_docs.count()
 
 
+def test_standard_licence_texts(spark):
+    from kolumna.llm.license_texts import TEXTS
+
+    mit = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version.
+"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+"""
+    texts = [
+        ("MIT", mit), ("MIT", mit.split("\n\n", 2)[2]), ("GPL-3.0", gpl.format(3)), ("GPL-2.0", gpl.format(2)), ("AGPL-3.0", gpl.format(3).replace("GNU", "GNU Affero")), ("BSD-family", bsd),
+        ("MIT", "// SPDX-License-Identifier: MIT\nint x;"), ("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0"), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+        (None, "SPDX-License-Identifier: Zlib"), *((n, "Copyright 2020 A. U. Thor " + " ".join(t.split())) for n, t in TEXTS.items()),
+    ]
+    got = {r["doc_id"]: r["license"] for r in licenses.license_notices(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id bigint, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == [n for n, _ in texts]
+
+
 def test_pruning_loses_no_match():
     """Bounds and cue words against all templates and many cut-up notices."""
     known = sorted({(n, tuple(licenses.grams(t))) for n, t in licenses.TEMPLATES})
