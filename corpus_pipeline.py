@@ -2,7 +2,8 @@
 
 1. quality: documents that the quality classifier scores under one half go;
 2. near_duplicates: one document of each near-duplicate group stays (five-word shingles, similarity 0.8 or more);
-3. decontamination: documents go of which a twentieth or more of the words lie in benchmark passages;
+3. decontamination: documents go of which a twentieth or more of the words lie in benchmark passages; in
+   the others passages are replaced by a mark, and ``n_chars`` follows;
 4. secrets: secrets in texts are replaced by a mark, and ``n_chars`` follows; no document goes;
 5. mixing: documents are taken whole, none or several times, so that sources meet their target weights.
 
@@ -12,7 +13,7 @@ time a document is taken.  Between stages the rows are written as Parquet.
 
 Defined cases: an empty table gives an empty table; null texts are empty ones
 to every stage (and are scored, grouped and mixed as such); rows without an id
-pass the stages that judge by id.
+pass the near-duplicate stage, which judges by id.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontam.without_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kolumna.llm import textblocks
@@ -261,3 +261,32 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     found = contamination(docs.where(f"`{doc_id}` is not null"), items, doc_id, text)
     gone = found.where(f"n_hit > 0 and {share} * n_hit >= n_words").select(F.col("doc_id").alias(doc_id)).distinct()
     return docs.join(gone, doc_id, "left_anti").select(*docs.columns)
+
+
+#: What stands for a passage, and the words of :data:`textblocks.ALNUM` as a pattern.
+MARK = "[BENCHMARK]"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with a mark in place of each span of words."""
+    gaps = F.split(text, WORD, -1)
+
+    def piece(word: Column, i: Column) -> Column:
+        inside = F.exists(spans, lambda s: (s["start"] <= i) & (i < s["end"]))
+        begins, goes_on = F.exists(spans, lambda s: s["start"] == i), F.exists(spans, lambda s: (s["start"] <= i) & (i + 1 < s["end"]))
+        return F.concat(F.when(begins, F.lit(MARK)).when(inside, F.lit("")).otherwise(word), F.when(goes_on, F.lit("")).otherwise(gaps[i + 1]))
+
+    return F.concat(gaps[0], F.array_join(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), piece), ""))
+
+
+def without_passages(docs: DataFrame, items: DataFrame, text: str = "text", share: int = 20) -> DataFrame:
+    """``docs`` without those of which a ``share``-th part or more of the words lie in items; in the others a mark stands for such words.
+
+    Rows are judged by their text, whatever their ids."""
+    key = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
+    found = contamination(docs.select(key.alias("doc_id"), F.col(text).alias("text")), items).where("n_hit > 0")
+    found = found.select(F.col("doc_id").alias("key"), (share * F.col("n_hit") >= F.col("n_words")).alias("gone"), "spans").dropDuplicates(["key"])
+    left = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), key.alias("key")).join(found, "key", "left").where("gone is null or not gone")
+    whole = F.col("row").getField(text)
+    return left.select(*((F.when(F.col("spans").isNull(), whole).otherwise(_masked(whole, F.col("spans"))) if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -248,6 +248,16 @@ def test_hits_against_brute_force(spark, odd_docs, odd_rows, no_docs, clashing):
     assert sorted((r["doc_id"] for r in out.collect()), key=lambda x: (x is None, x)) == sorted((r[0] for r in odd_rows if r[0] not in bad), key=lambda x: (x is None, x))
 
 
+def test_passages_are_masked_and_judges_by_text(spark):
+    passage, prose = " ".join(f"bench{i}" for i in range(13)), " ".join(f"Prose{i}," for i in range(400))
+    items = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    mixed = f"{prose}\n{passage.upper()}. End {passage}"
+    docs = spark.createDataFrame([(1, f"{mixed} {prose}"), (2, prose), (None, passage), (None, prose), (3, passage), (3, "a clean text")], "doc_id bigint, text string")
+    out = decontam.without_passages(docs, items)
+    assert rows(out) == sorted([(1, f"{prose}\n[BENCHMARK]. End [BENCHMARK] {prose}"), (2, prose), (None, prose), (3, "a clean text")], key=key)
+    assert out.schema == docs.schema and {r["n_hit"] for r in decontam.contamination(out, items).collect()} == {0}
+
+
 # Tokens
 
 def test_token_counts_against_the_library(spark, odd_docs, odd_rows, no_docs):
