@@ -95,6 +95,10 @@ class Database:
     def flush(self, name: str | None = None) -> None:
         self.catalog.flush(name)
 
+    def unlock(self, name: str) -> None:
+        """Remove a table's lock after its writer was lost."""
+        self.catalog.unlock(name)
+
     def set_mode(self, mode: str) -> None:
         if mode not in ("auto", "single", "multi"):
             raise BindError(f"unknown mode: {mode}")
@@ -141,7 +145,7 @@ class Connection:
         config = self.database.config
         if config.mode == "single":
             return found.coalesce(1)
-        if config.mode == "multi" and config.partitions and not plan.aggregated:
+        if config.mode == "multi" and config.partitions and (plan.group or not plan.aggregated):
             return found.repartition(config.partitions)
         return found
 

@@ -18,7 +18,9 @@ def aggregate(a: Agg, grouped: bool) -> Column:
         case "COUNT":
             return F.count(x)
         case "SUM":
-            found = F.sum(x).cast("double")  # whole numbers are summed as such, then converted once
+            found = F.sum(x).cast("double")
+            if a.argument.type.integral:  # exact while the sum fits a BIGINT; beyond, the sum of doubles
+                found = F.coalesce(F.try_sum(x).cast("double"), F.sum(x.cast("double")))
         case "AVG":
             found = F.avg(x)
         case "MIN":

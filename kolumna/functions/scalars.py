@@ -14,13 +14,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from kolumna.plans.bound import ColumnRef, Const, Op, Scalar
-from kolumna.schema import DataType
+from kolumna.schema import RANGE, DataType
 
 _FLIP = {"=": "=", "!=": "!=", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
 _COMPARE = {
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b,
 }
-_RANGE = {DataType.INT: 31, DataType.BIGINT: 63}
 
 
 def quoted(name: str) -> Column:
@@ -58,7 +57,7 @@ def _compare(e: Op) -> Column:
     if isinstance(left, Const) and not isinstance(right, Const):
         op, left, right = _FLIP[op], right, left
     if isinstance(right, Const) and left.type.integral and right.type.numeric:
-        return _against_number(op, value(left), _RANGE[left.type], right.value)
+        return _against_number(op, value(left), RANGE[left.type], right.value)
     return _COMPARE[op](value(left), value(right))
 
 

@@ -13,8 +13,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kolumna.database import Connection, Database
+from kolumna.database import Config, Connection, Database
+from kolumna.errors import ConstraintError
 from kolumna.schema import Key, table_of
+from kolumna.session import shared_folder
 from kolumna.sources.catalog import duplicates
 
 #: Keys of the attached tables.
@@ -66,6 +68,11 @@ CATALOGUE: dict[str, tuple[str, dict[str, str], str | None]] = {
     "filter_logic_as_value": ("SELECT l_orderkey, l_quantity > 25 AND l_tax < 0.04 AS f FROM lineitem", {}, "SELECT l_orderkey, CAST(l_quantity > 25 AND l_tax < 0.04 AS INT) AS f FROM lineitem"),
     "agg_count_star_col": ("SELECT COUNT(*) AS c, COUNT(l_tax) AS c2 FROM lineitem", {}, None),
     "agg_sum_int_as_double": ("SELECT SUM(l_linenumber) AS s FROM lineitem", {}, "SELECT CAST(SUM(l_linenumber) AS DOUBLE) AS s FROM lineitem"),
+    "agg_sum_beyond_bigint": (
+        "SELECT SUM(c_custkey + 4611686018427387904) AS s FROM customer",
+        {"s": "round(s / 1e18, 6)"},
+        "SELECT ROUND(CAST(SUM(c_custkey + 4611686018427387904) AS DOUBLE) / 1e18, 6) AS s FROM customer",
+    ),
     "agg_sum_double": ("SELECT SUM(l_extendedprice) AS s FROM lineitem", {"s": "round(s, 2)"}, "SELECT ROUND(SUM(l_extendedprice), 2) AS s FROM lineitem"),
     "agg_avg": ("SELECT AVG(l_extendedprice) AS a FROM lineitem", {"a": "round(a, 4)"}, "SELECT ROUND(AVG(l_extendedprice), 4) AS a FROM lineitem"),
     "agg_min_max_num": ("SELECT MIN(l_quantity) AS mi, MAX(l_quantity) AS ma FROM lineitem", {}, None),
@@ -97,8 +104,8 @@ CATALOGUE: dict[str, tuple[str, dict[str, str], str | None]] = {
 
 def scratch(spark: SparkSession) -> str:
     """A new folder for a database: in the shared folder that the session names, or, where it names none, in this process's own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/kolumna-db-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="kolumna-db-")
+    shared = shared_folder(spark)
+    return f"{shared}/kolumna-db-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="kolumna-db-")
 
 
 class _Attached(Connection):
@@ -119,8 +126,6 @@ class _Attached(Connection):
     def __init__(self, spark: SparkSession, sf_dir: str):
         from types import SimpleNamespace
 
-        from kolumna.database import Config
-
         super().__init__(SimpleNamespace(spark=spark, config=Config(), catalog=self._Tables(spark, sf_dir)))
 
 
@@ -148,6 +153,92 @@ def _inserted(table: str, sql: str, columns: str) -> Callable[[SparkSession, str
     return run
 
 
+def _loaded(spark: SparkSession, sf_dir: str, table: str, keys: tuple[Key, ...]) -> Database:
+    """A database of its own with a stored copy of a table, flushed."""
+    db = Database(spark, scratch(spark))
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    db.create_table(table_of(table, rows.schema, keys))
+    db.append(table, rows)
+    db.flush()
+    return db
+
+
+_CUSTOMER = (Key("__primary__", ("c_custkey",), True), Key("by_nation", ("c_nationkey",)))
+
+
+def _stored(sql: str, keys: tuple[Key, ...] = _CUSTOMER) -> Callable[[SparkSession, str], DataFrame]:
+    """A SELECT over a stored copy of customer, whose files are sorted by key and have Bloom filters."""
+    return lambda spark, sf_dir: _loaded(spark, sf_dir, "customer", keys).connect().frame(sql)
+
+
+def _rejected(db: Database, sql: str) -> None:
+    try:
+        db.connect().query(sql)
+    except ConstraintError:
+        return
+    raise AssertionError(f"accepted: {sql}")
+
+
+def _pk_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches that repeat a key in themselves, of a stored row or of a pending one leave nothing; the others stay."""
+    db = _loaded(spark, sf_dir, "nation", (Key("__primary__", ("n_nationkey",), True),))
+    _rejected(db, "INSERT INTO nation VALUES (200, 'A', 0), (200, 'B', 0)")
+    _rejected(db, "INSERT INTO nation VALUES (201, 'A', 0), (3, 'B', 0)")
+    db.connect().query("INSERT INTO nation VALUES (202, 'C', 1)")
+    _rejected(db, "INSERT INTO nation VALUES (202, 'D', 1)")
+    db.flush()
+    _rejected(db, "INSERT INTO nation VALUES (202, 'D', 1)")
+    return db.connect().frame("SELECT n_nationkey, n_name FROM nation")
+
+
+def _seen_in_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three loads of a third each, two of them flushed."""
+    db = Database(spark, scratch(spark))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    db.create_table(table_of("customer", rows.schema, _CUSTOMER))
+    for k in range(3):
+        db.append("customer", rows.where(f"c_custkey % 3 = {k}"))
+        if k == 1:
+            db.flush()
+    return db.connect().frame("SELECT c_custkey, c_acctbal FROM customer")
+
+
+def _created_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that is made, filled, dropped and made again with other columns."""
+    db = Database(spark, scratch(spark))
+    for sql in ("CREATE TABLE t (a INT PRIMARY KEY, b VARCHAR)", "INSERT INTO t VALUES (1, 'x')", "DROP TABLE t", "CREATE TABLE t (a BIGINT, c DOUBLE, KEY(a))", "INSERT INTO t (a) VALUES (-9223372036854775808), (9223372036854775807)"):
+        db.connect().query(sql)
+    db.flush()
+    return db.connect().frame("SELECT a, c FROM t")
+
+
+def _modes_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a grouping in each mode, and whether digests are the same in all."""
+    connection = _Attached(spark, sf_dir)
+    sql, found = "SELECT l_orderkey, COUNT(*) AS c FROM lineitem GROUP BY l_orderkey", []
+    for mode in ("auto", "single", "multi"):
+        connection.database.config = Config(mode, 3)
+        found.append((mode, connection.query(sql).digest()))
+    return spark.createDataFrame([(mode, d.row_count, d == found[0][1]) for mode, d in found], "mode string, n bigint, same boolean")
+
+
+_ACCESS = {
+    "SELECT * FROM orders WHERE o_orderkey = 42": "IndexScan(__primary__)",
+    "SELECT * FROM orders WHERE 42 = o_orderkey AND o_custkey = 7": "IndexScan(__primary__)",
+    "SELECT * FROM orders WHERE o_custkey = 7 AND o_totalprice > 5": "IndexScan(by_customer)",
+    "SELECT * FROM orders WHERE o_orderkey = 1.5": "SeqScan",
+    "SELECT * FROM orders WHERE o_orderkey = 42.0": "IndexScan(__primary__)",
+    "SELECT * FROM orders WHERE o_orderkey > 42": "SeqScan",
+    "SELECT * FROM lineitem WHERE l_orderkey = 10": "SeqScan",
+    "SELECT * FROM lineitem WHERE l_linenumber = 1 AND l_orderkey = 10": "IndexScan(by_line)",
+}
+
+
+def _access_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    connection = _Attached(spark, sf_dir)
+    return spark.createDataFrame([(sql, str(connection.access(sql))) for sql in _ACCESS], "statement string, path string")
+
+
 def _pk_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ("l_orderkey", "l_linenumber"))
 
@@ -157,10 +248,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _select(sq
     "insert_partial_zero_fill": _inserted("nation", "INSERT INTO nation (n_nationkey) VALUES (101)", "n_nationkey, n_name, n_regionkey"),
     "insert_const_arith": _inserted("region", "INSERT INTO region VALUES (1 + 98, 'R')", "r_regionkey, r_name"),
     "pk_duplicate_check": _pk_duplicates,
+    "pk_rejections": _pk_rejections,
+    "stored_pk_lookup": _stored("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42"),
+    "stored_pk_fractional_literal": _stored("SELECT c_custkey FROM customer WHERE c_custkey = 42.5"),
+    "stored_secondary_lookup": _stored("SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = 7 AND c_acctbal > 0"),
+    "stored_composite_lookup": _stored("SELECT c_name FROM customer WHERE c_custkey = 42 AND c_mktsegment >= 'A' AND c_nationkey >= 0", (Key("__primary__", ("c_nationkey", "c_custkey"), True),)),
+    "stored_group": _stored("SELECT c_mktsegment, COUNT(*) AS c, MIN(c_custkey) AS k FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment"),
+    "load_in_parts": _seen_in_parts,
+    "create_drop_create": _created_anew,
+    "modes_agree": _modes_agree,
+    "access_paths": _access_paths,
 }
 ORACLE_SQL: dict[str, str] = {name: oracle or sql for name, (sql, _, oracle) in CATALOGUE.items()} | {
     "insert_then_scan": "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 100, 'NEWLAND'",
     "insert_partial_zero_fill": "SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 101, '', 0",
     "insert_const_arith": "SELECT r_regionkey, r_name FROM region UNION ALL SELECT 1 + 98, 'R'",
     "pk_duplicate_check": "SELECT l_orderkey, l_linenumber, COUNT(*) AS c FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1",
+    "pk_rejections": "SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 202, 'C'",
+    "stored_pk_lookup": "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42",
+    "stored_pk_fractional_literal": "SELECT c_custkey FROM customer WHERE c_custkey = 42.5",
+    "stored_secondary_lookup": "SELECT c_custkey, c_acctbal FROM customer WHERE c_nationkey = 7 AND c_acctbal > 0",
+    "stored_composite_lookup": "SELECT c_name FROM customer WHERE c_custkey = 42 AND c_mktsegment >= 'A' AND c_nationkey >= 0",
+    "stored_group": "SELECT c_mktsegment, COUNT(*) AS c, MIN(c_custkey) AS k FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment",
+    "load_in_parts": "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 < 2",
+    "create_drop_create": "SELECT * FROM (VALUES (CAST(-9223372036854775808 AS BIGINT), CAST(0 AS DOUBLE)), (9223372036854775807, 0)) AS t(a, c)",
+    "modes_agree": "SELECT m AS mode, n, true AS same FROM (VALUES ('auto'), ('single'), ('multi')) AS v(m), (SELECT COUNT(DISTINCT l_orderkey) AS n FROM lineitem)",
+    "access_paths": "SELECT * FROM (VALUES " + ", ".join(f"('{sql}', '{path}')" for sql, path in _ACCESS.items()) + ") AS v(statement, path)",
 }

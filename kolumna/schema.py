@@ -40,6 +40,8 @@ class DataType(enum.Enum):
         return "" if self is DataType.VARCHAR else 0.0 if self in (DataType.FLOAT, DataType.DOUBLE) else 0
 
 
+#: Whole numbers of n bits beside the sign, by type.
+RANGE = {DataType.INT: 31, DataType.BIGINT: 63}
 _NUMERIC = (DataType.INT, DataType.BIGINT, DataType.FLOAT, DataType.DOUBLE)
 _SPARK = {DataType.INT: T.IntegerType(), DataType.BIGINT: T.LongType(), DataType.FLOAT: T.FloatType(), DataType.DOUBLE: T.DoubleType(), DataType.VARCHAR: T.StringType()}
 _BY_SPARK = {type(v): k for k, v in _SPARK.items()}

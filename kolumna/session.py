@@ -15,6 +15,14 @@ SETTINGS = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` names it; None on one machine that names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not (spark.conf.get("spark.master", "local") or "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return found.rstrip("/") if found else None
+
+
 def session(master: str | None = None, app: str = "kolumna", **more: str) -> SparkSession:
     """A session; ``master`` only where there is no cluster to say it. ``more``: settings with __ for dots."""
     builder = SparkSession.builder.appName(app)

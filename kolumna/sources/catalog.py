@@ -7,7 +7,9 @@ lengths, primary key within the batch and against all batches), and only then
 renamed into ``pending``; a batch that fails leaves nothing.  The checks are
 one aggregate, one grouping and one semi-join over key columns.
 
-One writer at a time holds a table's lock file; a second one is refused.
+One writer at a time holds a table's lock file, which names its process and
+when it began; a second one is refused.  :meth:`Catalog.unlock` removes the
+lock of a writer that is known to be gone.
 Names, columns and keys are in ``catalog.json`` at the root.
 """
 
@@ -15,8 +17,11 @@ from __future__ import annotations
 
 import contextlib
 import json
+import os
+import socket
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +32,8 @@ from kolumna.schema import VARCHAR_BYTES, DataType, Key, Table, checked, table_o
 from kolumna.sources.files import Files
 
 VERSION = 1
+#: Keys of a batch that are looked up one by one, and that are sent to all tasks: at most 64 bytes for each column.
+FEW_KEYS, BROADCAST_KEYS = 20, 100_000
 
 
 def duplicates(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -98,13 +105,18 @@ class Catalog:
         if name in self._attached:
             raise BindError(f"table {name} is attached: it cannot be written")
         lock = f"{self._folder(name)}/_lock"
-        if not self.files.claim(lock):
-            raise ConstraintError(f"table {name} is being written ({lock})")
+        if not self.files.claim(lock, f"{socket.gethostname()}:{os.getpid()} since {datetime.now(UTC):%Y-%m-%d %H:%M:%S} UTC"):
+            raise ConstraintError(f"table {name} is being written by {self.files.read(lock) or 'another process'} ({lock})")
         try:
             yield
         finally:
             self.files.delete(lock)
 
+    def unlock(self, name: str) -> None:
+        """Remove the lock of a writer that is gone. What it had staged is not seen, and its batch is as if never given."""
+        self.find(name)
+        self.files.delete(f"{self._folder(name)}/_lock")
+
     def _read(self, table: Table, *folders: str) -> DataFrame:
         there = [f"{self._folder(table.name)}/{f}" for f in folders]
         there = [f for f in there if self.files.names(f)]
@@ -159,11 +171,26 @@ class Catalog:
             columns = table.primary.columns
             if not duplicates(batch, columns).isEmpty():
                 raise ConstraintError(f"the rows for {table.name} repeat a value of its primary key")
-            before = self._read(table, "rows", "pending").select(*map(quoted, columns))
-            if not batch.select(*map(quoted, columns)).join(before, list(columns), "left_semi").isEmpty():
+            if not self._stored_with(table, batch.select(*map(quoted, columns)), count).isEmpty():
                 raise ConstraintError(f"{table.name} has a row with this primary key")
         return count
 
+    def _stored_with(self, table: Table, keys: DataFrame, count: int) -> DataFrame:
+        """Primary keys of stored rows that ``keys`` has too.
+
+        Stored rows stream past the batch's keys. Its least and greatest keys, and the keys themselves if they are few,
+        are conditions at the scan, where file statistics and Bloom filters drop row groups."""
+        columns = table.primary.columns
+        stored = self._read(table, "rows", "pending").select(*map(quoted, columns))
+        if not count:
+            return stored.limit(0)
+        ends = keys.agg(*(f(quoted(c)).alias(f"{n}{k}") for k, c in enumerate(columns) for n, f in (("low", F.min), ("high", F.max)))).first()
+        for k, c in enumerate(columns):
+            stored = stored.where(quoted(c).between(F.lit(ends[f"low{k}"]), F.lit(ends[f"high{k}"])))
+        if count <= FEW_KEYS and len(columns) == 1:
+            stored = stored.where(quoted(columns[0]).isin([r[0] for r in keys.collect()]))
+        return stored.join(F.broadcast(keys) if count <= BROADCAST_KEYS else keys, list(columns), "left_semi")
+
     def flush(self, name: str | None = None) -> None:
         """Show the pending batches of a table, or of all."""
         for n in [name] if name else [n for n in self._tables if n not in self._attached]:

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 class Files:
     def __init__(self, spark: SparkSession):
-        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._jvm, self._conf, self._gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway
 
     def _at(self, path: str):
         p = self._jvm.org.apache.hadoop.fs.Path(path)
@@ -35,10 +35,21 @@ class Files:
         p, fs = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-    def claim(self, path: str) -> bool:
-        """Make an empty file; False if it is there already."""
+    def claim(self, path: str, text: str) -> bool:
+        """Make a file; False if it is there already."""
         p, fs = self._at(path)
-        return bool(fs.createNewFile(p))
+        if not fs.createNewFile(p):
+            return False
+        self._fill(path, text)
+        return True
+
+    def _fill(self, path: str, text: str) -> None:
+        p, fs = self._at(path)
+        stream = fs.create(p, True)
+        try:
+            stream.write(text.encode())
+        finally:
+            stream.close()
 
     def read(self, path: str) -> str:
         p, fs = self._at(path)
@@ -49,13 +60,11 @@ class Files:
             stream.close()
 
     def write(self, path: str, text: str) -> None:
-        """Replace a file as a whole: write beside it, then rename."""
+        """Replace a file as a whole: write beside it, then rename over it in one step, so that one of both is always there."""
         beside = f"{path}.new"
-        p, fs = self._at(beside)
-        stream = fs.create(p, True)
-        try:
-            stream.write(text.encode())
-        finally:
-            stream.close()
-        self.delete(path)
-        self.rename(beside, path)
+        self._fill(beside, text)
+        old, new = self._at(beside)[0], self._at(path)[0]
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self._gateway.new_array(kind, 1)
+        how[0] = kind.OVERWRITE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), self._conf).rename(old, new, how)

@@ -16,10 +16,10 @@ def db(spark, tmp_path):
 
 
 @pytest.fixture
-def users(db):
+def ships(db):
     c = db.connect()
-    c.query("CREATE TABLE users (id INT PRIMARY KEY, age INT, city VARCHAR, KEY idx_age(age))")
-    c.query("INSERT INTO users VALUES (1, 20, 'x'), (2, 30, 'y'), (3, 30, 'z'), (4, 40, 'x')")
+    c.query("CREATE TABLE ships (id INT PRIMARY KEY, tons INT, port VARCHAR, KEY by_tons(tons))")
+    c.query("INSERT INTO ships VALUES (1, 20, 'x'), (2, 30, 'y'), (3, 30, 'z'), (4, 40, 'x')")
     db.flush()
     return c
 
@@ -68,8 +68,8 @@ def test_same_results_in_every_mode_and_partitioning(spark, tmp_path):
             assert a[:2] == b[:2] and all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a[2:], b[2:]))
 
 
-def test_types_of_results(users):
-    r = users.query("SELECT id, id + 1.5, age > 1, city, COUNT(*), SUM(age), MIN(city) FROM users GROUP BY id, id + 1.5, age > 1, city")
+def test_types_of_results(ships):
+    r = ships.query("SELECT id, id + 1.5, tons > 1, port, COUNT(*), SUM(tons), MIN(port) FROM ships GROUP BY id, id + 1.5, tons > 1, port")
     assert [c.type.value for c in r.columns] == ["INT", "DOUBLE", "INT", "VARCHAR", "BIGINT", "DOUBLE", "VARCHAR"]
     assert [f.dataType.simpleString() for f in r.frame.schema] == ["int", "double", "int", "string", "bigint", "double", "string"]
 
@@ -95,21 +95,21 @@ def test_insert_is_seen_after_flush_only_and_stays(spark, tmp_path):
         assert rows(d.connect(), "SELECT * FROM t") == [(0, -1, "", 0.0), (0, 3, "", 0.0)]
 
 
-def test_primary_key_is_unique_in_and_across_batches(users, db):
+def test_primary_key_is_unique_in_and_across_batches(ships, db):
     with pytest.raises(ConstraintError):
-        users.query("INSERT INTO users VALUES (9, 1, 'a'), (9, 2, 'b')")
+        ships.query("INSERT INTO ships VALUES (9, 1, 'a'), (9, 2, 'b')")
     with pytest.raises(ConstraintError):
-        users.query("INSERT INTO users VALUES (8, 1, 'a'), (1, 2, 'b')")
-    users.query("INSERT INTO users VALUES (10, 1, 'a')")
+        ships.query("INSERT INTO ships VALUES (8, 1, 'a'), (1, 2, 'b')")
+    ships.query("INSERT INTO ships VALUES (10, 1, 'a')")
     with pytest.raises(ConstraintError):  # against rows that are not flushed yet
-        users.query("INSERT INTO users VALUES (10, 1, 'a')")
+        ships.query("INSERT INTO ships VALUES (10, 1, 'a')")
     db.flush()
-    assert len(rows(users, "SELECT id FROM users")) == 5
+    assert len(rows(ships, "SELECT id FROM ships")) == 5
 
 
 def test_composite_and_string_keys(db):
     c = db.connect()
-    c.query("CREATE TABLE o (u INT, n INT, amount DOUBLE, PRIMARY KEY(u, n), KEY by_amount(amount))")
+    c.query("CREATE TABLE o (u INT, n INT, price DOUBLE, PRIMARY KEY(u, n), KEY by_price(price))")
     c.query("INSERT INTO o VALUES (1, 1, 5.0), (1, 2, 5.0)")
     with pytest.raises(ConstraintError):
         c.query("INSERT INTO o VALUES (1, 2, 6.0)")
@@ -131,30 +131,32 @@ def test_duplicates_are_rejected_after_reopening(spark, tmp_path):
         d.connect().query("INSERT INTO t VALUES (1)")
 
 
-def test_access_paths(db, users):
-    access = lambda sql: str(users.access(sql))
-    assert access("SELECT * FROM users WHERE id = 1") == "IndexScan(__primary__)"
-    assert access("SELECT * FROM users WHERE 1 = id AND city = 'x'") == "IndexScan(__primary__)"
-    assert access("SELECT * FROM users WHERE age = 30 AND id > 1") == "IndexScan(idx_age)"
-    assert access("SELECT * FROM users WHERE id = 1 OR age = 2") == "SeqScan"
-    assert access("SELECT * FROM users WHERE id > 1") == "SeqScan"
-    users.query("CREATE TABLE o (u INT, n INT, PRIMARY KEY(u, n))")
+def test_access_paths(db, ships):
+    access = lambda sql: str(ships.access(sql))
+    assert access("SELECT * FROM ships WHERE id = 1") == "IndexScan(__primary__)"
+    assert access("SELECT * FROM ships WHERE 1 = id AND port = 'x'") == "IndexScan(__primary__)"
+    assert access("SELECT * FROM ships WHERE tons = 30 AND id > 1") == "IndexScan(by_tons)"
+    assert access("SELECT * FROM ships WHERE id = 1 OR tons = 2") == "SeqScan"
+    assert access("SELECT * FROM ships WHERE id > 1") == "SeqScan"
+    assert access("SELECT * FROM ships WHERE id = 1.5") == access("SELECT * FROM ships WHERE id = 99999999999") == "SeqScan"
+    assert access("SELECT * FROM ships WHERE id = 1.0") == "IndexScan(__primary__)"
+    ships.query("CREATE TABLE o (u INT, n INT, PRIMARY KEY(u, n))")
     assert access("SELECT * FROM o WHERE u = 1") == "SeqScan"
     assert access("SELECT * FROM o WHERE n = 1 AND u = 1") == "IndexScan(__primary__)"
-    users.query("CREATE TABLE v (name VARCHAR PRIMARY KEY, v INT)")
+    ships.query("CREATE TABLE v (name VARCHAR PRIMARY KEY, v INT)")
     assert access("SELECT * FROM v WHERE name = 'a'") == "SeqScan"
-    assert rows(users, "SELECT id FROM users WHERE id = 1.5") == []
-    assert rows(users, "SELECT id FROM users WHERE age = 30 AND id > 2") == [(3,)]
+    assert rows(ships, "SELECT id FROM ships WHERE id = 1.5") == []
+    assert rows(ships, "SELECT id FROM ships WHERE tons = 30 AND id > 2") == [(3,)]
 
 
-def test_conditions_reach_the_scan_and_columns_are_pruned(users):
-    plan = users.query("EXPLAIN SELECT id FROM users WHERE id > 2.5 AND age <= 30").text
-    assert "PushedFilters: [IsNotNull(id), IsNotNull(age), GreaterThan(id,2), LessThanOrEqual(age,30)]" in plan
-    assert "ReadSchema: struct<id:int,age:int>" in plan
+def test_conditions_reach_the_scan_and_columns_are_pruned(ships):
+    plan = ships.query("EXPLAIN SELECT id FROM ships WHERE id > 2.5 AND tons <= 30").text
+    assert "PushedFilters: [IsNotNull(id), IsNotNull(tons), GreaterThan(id,2), LessThanOrEqual(tons,30)]" in plan
+    assert "ReadSchema: struct<id:int,tons:int>" in plan
 
 
-def test_aggregates_are_partial_before_the_exchange(users):
-    plan = users.query("EXPLAIN SELECT age, COUNT(*) FROM users GROUP BY age").text
+def test_aggregates_are_partial_before_the_exchange(ships):
+    plan = ships.query("EXPLAIN SELECT tons, COUNT(*) FROM ships GROUP BY tons").text
     assert plan.count("Exchange") and "partial_count" in plan
 
 
@@ -175,38 +177,83 @@ def test_whole_numbers_against_any_literal(db, op, number):
 @pytest.mark.parametrize(
     "sql",
     [
-        "SELECT nope FROM users", "SELECT * FROM nope", "SELECT id, * FROM users", "SELECT id, COUNT(*) FROM users", "SELECT SUM(id) + 1 FROM users", "SELECT id FROM users WHERE SUM(id) > 1", "SELECT SUM(SUM(id)) FROM users",
-        "SELECT SUM(city) FROM users", "SELECT id FROM users WHERE city > 1", "SELECT city + 1 FROM users", "SELECT ID FROM users", "INSERT INTO users VALUES (1, 2)", "INSERT INTO users VALUES (1.0, 2, 'a')", "INSERT INTO users VALUES (1, 2, 3)",
-        "INSERT INTO users (id, id) VALUES (1, 2)", "INSERT INTO users (id) VALUES (age + 1)", "INSERT INTO users (id) VALUES (2147483647 + 1)", "CREATE TABLE users (a INT)", "CREATE TABLE q (a INT, a INT)", "CREATE TABLE q (a TEXT)",
+        "SELECT nope FROM ships", "SELECT * FROM nope", "SELECT id, * FROM ships", "SELECT id, COUNT(*) FROM ships", "SELECT SUM(id) + 1 FROM ships", "SELECT id FROM ships WHERE SUM(id) > 1", "SELECT SUM(SUM(id)) FROM ships",
+        "SELECT SUM(port) FROM ships", "SELECT id FROM ships WHERE port > 1", "SELECT port + 1 FROM ships", "SELECT ID FROM ships", "INSERT INTO ships VALUES (1, 2)", "INSERT INTO ships VALUES (1.0, 2, 'a')", "INSERT INTO ships VALUES (1, 2, 3)",
+        "INSERT INTO ships (id, id) VALUES (1, 2)", "INSERT INTO ships (id) VALUES (tons + 1)", "INSERT INTO ships (id) VALUES (2147483647 + 1)", "CREATE TABLE ships (a INT)", "CREATE TABLE q (a INT, a INT)", "CREATE TABLE q (a TEXT)",
         "CREATE TABLE q (a INT PRIMARY KEY, PRIMARY KEY(a))", "CREATE TABLE q (a INT, KEY(b))", "CREATE TABLE q (a INT, KEY(a, a))", "CREATE TABLE q (a INT, KEY k(a), KEY k(a))", "DROP TABLE nope",
     ],
 )
-def test_bind_errors(users, sql):
+def test_bind_errors(ships, sql):
     with pytest.raises(BindError):
-        users.query(sql).rows()
+        ships.query(sql).rows()
 
 
-def test_drop_and_create_again(users, db):
-    users.query("DROP TABLE users")
+def test_drop_and_create_again(ships, db):
+    ships.query("DROP TABLE ships")
     with pytest.raises(BindError):
-        users.query("SELECT * FROM users")
-    users.query("CREATE TABLE users (a INT)")
-    assert rows(users, "SELECT * FROM users") == []
+        ships.query("SELECT * FROM ships")
+    ships.query("CREATE TABLE ships (a INT)")
+    assert rows(ships, "SELECT * FROM ships") == []
 
 
-def test_one_writer_at_a_time(db, users):
-    with db.catalog._writing("users"), pytest.raises(ConstraintError):
-        users.query("INSERT INTO users VALUES (77, 1, 'a')")
-    users.query("INSERT INTO users VALUES (77, 1, 'a')")
+def test_one_writer_at_a_time(db, ships):
+    with db.catalog._writing("ships"), pytest.raises(ConstraintError):
+        ships.query("INSERT INTO ships VALUES (77, 1, 'a')")
+    ships.query("INSERT INTO ships VALUES (77, 1, 'a')")
 
 
-def test_prepared_statements_see_later_rows_and_consumers_get_batches(users, db):
-    p = users.prepare("SELECT id FROM users")
-    assert len(users.execute(p).rows()) == 4
-    users.query("INSERT INTO users VALUES (5, 1, 'a')")
+def test_the_lock_of_a_lost_writer_is_named_and_can_be_removed(db, ships):
+    writing = db.catalog._writing("ships")
+    writing.__enter__()
+    with pytest.raises(ConstraintError, match=r":\d+ since \d{4}-"):
+        ships.query("INSERT INTO ships VALUES (77, 1, 'a')")
+    db.unlock("ships")
+    ships.query("INSERT INTO ships VALUES (77, 1, 'a')")
+
+
+def test_sums_beyond_bigint(db):
+    db.attach("w", db.spark.createDataFrame([(2**62, 1), (2**62, 1), (2**62, 2)], "v bigint, g int"))
+    c = db.connect()
+    assert rows(c, "SELECT SUM(v), SUM(g) FROM w") == [(3.0 * 2**62, 4.0)]
+    assert rows(c, "SELECT g, SUM(v) FROM w GROUP BY g") == [(1, 2.0**63), (2, 2.0**62)]
+    assert rows(c, "SELECT SUM(v) FROM w WHERE g > 5") == [(0.0,)]
+
+
+def test_the_least_bigint_is_a_literal(db):
+    from kolumna.errors import ParseError
+
+    db.attach("w", db.spark.createDataFrame([(-(2**63),), (5,)], "v bigint"))
+    assert rows(db.connect(), "SELECT v FROM w WHERE v = -9223372036854775808") == [(-(2**63),)]
+    with pytest.raises(ParseError):
+        db.connect().query("SELECT 9223372036854775808 FROM w")
+    with pytest.raises(ParseError):
+        db.connect().query("SELECT -9223372036854775809 FROM w")
+
+
+def test_a_catalog_is_there_at_every_moment_of_its_replacement(db, ships):
+    names = db.catalog.files.names(db.catalog.root)
+    assert "catalog.json" in names and "catalog.json.new" not in names
+
+
+def test_keys_of_a_batch_are_conditions_at_the_scan_of_stored_rows(db, ships):
+    def plan(sql_rows):
+        batch = db.spark.createDataFrame(sql_rows, db.catalog.find("ships").struct).select("id")
+        found = db.catalog._stored_with(db.catalog.find("ships"), batch, len(sql_rows))
+        return found, found._jdf.queryExecution().explainString(db.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+    found, text = plan([(2, 1, "a"), (9, 1, "a")])
+    assert [r[0] for r in found.collect()] == [2]
+    assert "GreaterThanOrEqual(id,2)" in text and "LessThanOrEqual(id,9)" in text and "In(id, [2,9])" in text and "BroadcastHashJoin" in text
+    assert plan([(k, 1, "a") for k in range(3, 60)])[0].count() == 2
+
+
+def test_prepared_statements_see_later_rows_and_consumers_get_batches(ships, db):
+    p = ships.prepare("SELECT id FROM ships")
+    assert len(ships.execute(p).rows()) == 4
+    ships.query("INSERT INTO ships VALUES (5, 1, 'a')")
     db.flush()
     got = []
-    assert users.execute(p, got.append, size=2).affected_rows == 5
+    assert ships.execute(p, got.append, size=2).affected_rows == 5
     assert sorted(r[0] for b in got for r in b) == [1, 2, 3, 4, 5] and max(map(len, got)) <= 2
 
 
@@ -218,14 +265,14 @@ def test_digest_ignores_order_and_tells_repetition(spark):
     assert digest(a) != digest(a.distinct()) and digest(a.limit(0)).row_count == 0
 
 
-def test_a_followed_table_counts_flushed_batches(users, db, tmp_path):
+def test_a_followed_table_counts_flushed_batches(ships, db, tmp_path):
     from kolumna.streaming import follow
 
-    q = follow(db.catalog, "SELECT age, COUNT(*) AS c FROM users WHERE id > 1 GROUP BY age").writeStream.outputMode("complete").format("memory").queryName("followed").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q = follow(db.catalog, "SELECT tons, COUNT(*) AS c FROM ships WHERE id > 1 GROUP BY tons").writeStream.outputMode("complete").format("memory").queryName("followed").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         q.processAllAvailable()
         assert sorted(map(tuple, db.spark.table("followed").collect())) == [(30, 2), (40, 1)]
-        users.query("INSERT INTO users VALUES (6, 40, 'q')")
+        ships.query("INSERT INTO ships VALUES (6, 40, 'q')")
         db.flush()
         q.processAllAvailable()
         assert sorted(map(tuple, db.spark.table("followed").collect())) == [(30, 2), (40, 2)]
@@ -250,14 +297,14 @@ def test_attached_tables_are_read_only(spark, db):
     assert table_of("b", bench_table(spark, 1).schema).columns[0].type is DataType.BIGINT
 
 
-def test_bulk_rows_must_fit_the_table(users, db):
+def test_bulk_rows_must_fit_the_table(ships, db):
     with pytest.raises(BindError):
-        db.append("users", db.spark.range(3))
+        db.append("ships", db.spark.range(3))
     with pytest.raises(ConstraintError):
-        db.append("users", db.spark.createDataFrame([(50, None, "a")], "id int, age int, city string"))
-    n = db.append("users", db.spark.range(1000, 66546).select(F.col("id").cast("int").alias("id"), F.lit(50).alias("age"), F.lit("m").alias("city")))
+        db.append("ships", db.spark.createDataFrame([(50, None, "a")], "id int, tons int, port string"))
+    n = db.append("ships", db.spark.range(1000, 66546).select(F.col("id").cast("int").alias("id"), F.lit(50).alias("tons"), F.lit("m").alias("port")))
     db.flush()
-    assert n == 65546 and rows(users, "SELECT COUNT(*) FROM users WHERE age = 50") == [(65546,)]
+    assert n == 65546 and rows(ships, "SELECT COUNT(*) FROM ships WHERE tons = 50") == [(65546,)]
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -266,4 +313,6 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--db", str(tmp_path / "c"), "--gen-table", "t", "--rows", "1000", "--digest", "SELECT COUNT(*) FROM t", "SELECT id FROM t WHERE id = 7"]) == 0
     out = capsys.readouterr().out
     assert "1000" in out and "digest 1:" in out
+    assert main(["--db", str(tmp_path / "c"), "--gen-table", "u", "--rows", "250", "--load-batch", "100", "--unlock", "t", "SELECT COUNT(*) FROM u"]) == 0
+    assert "250 rows" in capsys.readouterr().out
     assert main(["--db", str(tmp_path / "c"), "SELECT nope FROM t"]) == 1
