@@ -98,19 +98,6 @@ def _trained(batch) -> np.ndarray:
     return textblocks.column(batch, "train").to_numpy(zero_copy_only=False)
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers in as many bytes as the greatest needs, all lowest bytes first."""
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(packed, np.uint8, offset=1).reshape(packed[0], -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : packed[0]] = planes.T
-    return out.view("<u8").ravel().astype(_U, copy=False)
-
-
 def _starts(shards: int, bits: int) -> np.ndarray:
     """The least hash of each shard."""
     return np.array([-(-(k << bits) // shards) for k in range(shards)], _U)
@@ -147,7 +134,7 @@ def _asked(shards: int):
             starts = _starts(shards, bits)
             cut = [*np.searchsorted(key, starts).tolist(), len(key)]
             parts = list(zip(cut, cut[1:], starts))
-            cols += [[_pack(np.diff(key[a:b], prepend=start)) for a, b, start in parts], [_pack(n[a:b]) for a, b, _ in parts]]
+            cols += [[textblocks.packed(np.diff(key[a:b], prepend=start)) for a, b, start in parts], [textblocks.packed(n[a:b]) for a, b, _ in parts]]
         at = [k for k in range(shards) if len(cols[0][k]) > 1 or len(cols[2][k]) > 1]
         block = textblocks.column(docs, "block")[0].as_py()
         return pa.Table.from_arrays([pa.array(at, pa.int64()), pa.array([block] * len(at), pa.int64()), *(pa.array([c[k] for k in at], pa.binary()) for c in cols)], names=["shard", "block", "tokens", "token_n", "pairs", "pair_n"])
@@ -159,20 +146,20 @@ def _answered(shards: int):
     """What blocks ask of a shard to each block's answers: totals of its tokens, levels of its bigrams; and, in one row, the shard's sums."""
 
     def totals(keys: list[bytes], counts: list[bytes], start: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-        each = [np.cumsum(_unpack(k)) + start for k in keys]
+        each = [np.cumsum(textblocks.unpacked(k)) + start for k in keys]
         key, at = np.unique(np.concatenate(each), return_inverse=True)
-        n = np.bincount(at, np.concatenate([_unpack(c) for c in counts]), minlength=len(key)).astype(np.int64)
+        n = np.bincount(at, np.concatenate([textblocks.unpacked(c) for c in counts]), minlength=len(key)).astype(np.int64)
         return key, n, at, np.cumsum([0, *map(len, each)]).tolist()
 
     def run(asked: pa.Table) -> pa.Table:
         shard = textblocks.column(asked, "shard")[0].as_py()
         tokens, token_n, pairs, pair_n = (textblocks.column(asked, c).to_pylist() for c in ("tokens", "token_n", "pairs", "pair_n"))
         _, n, at, cut = totals(tokens, token_n, _starts(shards, TOKEN_BITS)[shard])
-        answers = [_pack(n[at[a:b]].astype(_U)) for a, b in zip(cut, cut[1:])]
+        answers = [textblocks.packed(n[at[a:b]].astype(_U)) for a, b in zip(cut, cut[1:])]
         key, m, at, cut = totals(pairs, pair_n, _starts(shards, PAIR_BITS)[shard])
         filter_ = LogFrequencyFilter(key[m > 0], m[m > 0], 1)
         level = filter_.levels(key)
-        levels = [_pack(level[at[a:b]].astype(_U)) for a, b in zip(cut, cut[1:])]
+        levels = [textblocks.packed(level[at[a:b]].astype(_U)) for a, b in zip(cut, cut[1:])]
         rest = [0] * (len(answers) - 1)
         return pa.Table.from_arrays(
             [textblocks.column(asked, "block"), textblocks.column(asked, "shard"), pa.array(answers, pa.binary()), pa.array(levels, pa.binary()), pa.array([int(n.sum()), *rest], pa.int64()), pa.array([int((n > 0).sum()), *rest], pa.int64())],
@@ -188,14 +175,14 @@ def _score(total: int, distinct: int):
         by = np.argsort(textblocks.column(answers, "shard").to_numpy())
         token_n, levels = ([c[k] for k in by] for c in (textblocks.column(answers, x).to_pylist() for x in ("token_n", "levels")))
         distinct_tokens, at = np.unique(token, return_inverse=True)
-        n = np.concatenate([np.zeros(0, _U), *map(_unpack, token_n)]).astype(np.int64)
+        n = np.concatenate([np.zeros(0, _U), *map(textblocks.unpacked, token_n)]).astype(np.int64)
         c = n[at]
         unigram = (c + 0.1) / (total + 0.1 * (distinct + 1))
         # A word of training texts is followed by one as often as it occurs; their beginnings are as many as their ends.
         first = np.concatenate([c[:1], c[:-1]])
         first[begins] = n[np.searchsorted(distinct_tokens, END)] if len(n) else 0
         _, at = np.unique(pair, return_inverse=True)
-        both = _middle(np.concatenate([np.zeros(0, _U), *map(_unpack, levels)]).astype(np.int64))[at]
+        both = _middle(np.concatenate([np.zeros(0, _U), *map(textblocks.unpacked, levels)]).astype(np.int64))[at]
         probability = (both + MU * unigram) / (np.maximum(first, both) + MU)
         rows = len(docs)
         return pa.Table.from_arrays(

@@ -107,6 +107,28 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def hashes(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each string of a buffer, upper and lower case told apart."""
+    size = np.diff(offsets)
+    buf, at = buf[offsets[0] : offsets[-1]], offsets - offsets[0]
+    value = BYTE_VALUES[buf] * _powers(int(size.max(initial=0)))[np.arange(len(buf)) - np.repeat(at[:-1], size)]
+    total = np.concatenate([np.zeros(1, _U), np.cumsum(value, dtype=_U)])
+    return mix(total[at[1:]] - total[at[:-1]] + size.astype(_U))
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as many bytes as the greatest needs, all lowest bytes first."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    planes = np.frombuffer(held, np.uint8, offset=1).reshape(held[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : held[0]] = planes.T
+    return out.view("<u8").ravel().astype(_U, copy=False)
+
+
 _pow = np.ones(1, _U)
 
 
