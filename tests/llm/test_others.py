@@ -152,6 +152,44 @@ def test_search_against_brute_force(spark):
     assert topk.top_k(df.limit(0), "id % 50 = 0").collect() == []
 
 
+def _clustered(n, groups, dim=32, spread=0.03):
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(groups, dim))
+    middle /= np.linalg.norm(middle, axis=1)[:, None]
+    return np.floor(256 * (middle[rng.integers(0, groups, n)] + rng.normal(0, spread / np.sqrt(dim), (n, dim))))
+
+
+def test_trees_prune_what_has_structure():
+    x = _clustered(6000, 40)
+    q, ids = x[::20], np.arange(6000)
+    work = []
+    scores, names, found = topk.search(q, ids[::20], x, ids, 5, work=work)
+    assert sum(work) < 0.25 * len(q) * len(x) and found.all()
+    products = (q @ x.T).astype(np.int64)
+    products[np.arange(len(q)), ids[::20]] = -(2**62)
+    for k in range(len(q)):
+        assert names[k].tolist() == np.lexsort((ids, -products[k]))[:5].tolist()
+    late = []
+    topk.search(q, ids[::20], x, ids, 5, scores[:, -1].astype(float), late)
+    assert sum(late) <= sum(work)
+
+
+def test_cells_that_cannot_matter_are_left_out(spark):
+    x = _clustered(6000, 40)
+    centres = topk.centres_of(x[::7], 40)
+    owner, far = topk._nearest(x, centres)
+    radius, most = (np.array([y[owner == c].max(initial=-1) for c in range(len(centres))]) for y in (far, np.linalg.norm(x, axis=1)))
+    q = x[::50]
+    beat = np.sort(q @ x.T, axis=1)[:, -6]
+    at = topk.reached(q, beat, centres, radius, most)
+    assert at.mean() < 0.2
+    for k, c in zip(*np.nonzero(~at)):
+        assert not len(x[owner == c]) or (x[owner == c] @ q[k]).max() < beat[k]
+    df = spark.createDataFrame([(i, (v / 256).tolist()) for i, v in enumerate(x[:3000])], "vec_id bigint, embedding array<double>").repartition(3)
+    want = brute.best([(i, (v / 256).tolist()) for i, v in enumerate(x[:3000])])
+    assert rows(topk.top_k(df, "id % 50 = 0", cell=100, data_block=64, query_block=5)) == want
+
+
 def test_few_candidates_and_shared_ids(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0])], "vec_id bigint, embedding array<float>")
     assert rows(topk.top_k(df, "id % 50 = 0")) == [(0, 1, 1, 65536), (0, 1, 1, 65536)]
@@ -256,6 +294,21 @@ def test_passages_are_masked_and_judges_by_text(spark):
     out = decontam.without_passages(docs, items)
     assert rows(out) == sorted([(1, f"{prose}\n[BENCHMARK]. End [BENCHMARK] {prose}"), (2, prose), (None, prose), (3, "a clean text")], key=key)
     assert out.schema == docs.schema and {r["n_hit"] for r in decontam.contamination(out, items).collect()} == {0}
+    more = items.unionByName(spark.createDataFrame([(k, f"other{k} words of an item that is nowhere") for k in range(2, 30)], "item_id bigint, text string"))
+    assert rows(decontam.without_passages(docs, more, piece=40)) == rows(out)  # several pieces
+
+
+def test_one_passage_in_a_long_document_does_not_survive(spark):
+    """A passage of 13 words among 2,000, and one at the end of a text of 12 MB."""
+    passage = " ".join(f"bench{i}" for i in range(13))
+    prose = " ".join(f"prose{i}" for i in range(2000))
+    long = "lorem ipsum dolor " * 650_000
+    docs = spark.createDataFrame([(1, f"{prose} {passage} {prose}"), (2, f"{long}{passage}"), (3, prose)], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    assert [r["n_hit"] for r in decontam.contamination(docs, items).orderBy("doc_id").collect()] == [13, 13, 0]
+    out = {r["doc_id"]: r["text"] for r in decontam.without_passages(docs, items).collect()}
+    assert out == {1: f"{prose} [BENCHMARK] {prose}", 2: f"{long}[BENCHMARK]", 3: prose}
+    assert [r["doc_id"] for r in decontam.without_passages(docs, items, share=None).collect()] == [3]
 
 
 # Tokens
