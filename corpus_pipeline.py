@@ -2,8 +2,7 @@
 
 1. quality: documents that the quality classifier scores under one half go;
 2. near_duplicates: one document of each near-duplicate group stays (five-word shingles, similarity 0.8 or more);
-3. decontamination: documents go of which a twentieth or more of the words lie in benchmark passages; in
-   the others passages are replaced by a mark, and ``n_chars`` follows;
+3. decontamination: documents that hold a benchmark passage go, however short it is beside the rest;
 4. secrets: secrets in texts are replaced by a mark, and ``n_chars`` follows; no document goes;
 5. mixing: documents are taken whole, none or several times, so that sources meet their target weights.
 
@@ -37,7 +36,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.without_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return decontam.without_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), share=None)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
