@@ -9,10 +9,12 @@ once.  The best tags of a line come from Viterbi; lines in which no token
 comes near enough to matter (a bound that proves the all-outside path best)
 are not decoded.
 
-The field is fitted on lines of at most ``SAMPLE`` documents (chosen by a
-hash, so reruns agree), labelled by the base patterns, and on made-up
-lines with secrets in other surroundings; base spans always stay, and tagged
-spans that touch none of them are added.
+The field is fitted on stretches of lines (``STRETCH`` tokens at most) from at
+most ``SAMPLE`` documents of any length, labelled by the base patterns, and on
+made-up lines with secrets in other surroundings.  Documents and stretches are
+chosen by hashes, so reruns agree, and wherever they lie; what reaches the
+driver is ``LINES`` stretches of either sort.  Base spans always stay, and
+tagged spans that touch none of them are added.
 
 Defined cases: a null text is empty; ids play no part but for the choice of
 the sample; offsets are code points, end exclusive.
@@ -22,7 +24,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kolumna.llm import textblocks
-from kolumna.llm.work import chance, modest
+from kolumna.llm.work import chance, forget, modest, saved
 
-#: Documents whose lines may be used to fit, bytes of the longest of them, and lines taken of each sort.
-SAMPLE, LONGEST, LINES = 2_000, 20_000, 600
+#: Documents whose lines may be used to fit, stretches of lines taken of each sort (with a secret or without), and tokens of a stretch.
+SAMPLE, LINES, STRETCH = 2_000, 600, 64
+#: Words of made-up lines.
+VOCABULARY = 2_000
 KINDS = ("assign", "access", "hex", "crf")
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -227,7 +233,7 @@ _FRAMES = (
 _PLAIN = ("version: {}", "id={}", "see https://example.org/{} for", "call {}", "on {}", "build {}", "size = {}", "mail {}", "the token ring", "a key: point", "password reset page", "secret garden", "page {}", "order {}")
 
 
-def made_lines(words: list[str], n: int, seed: int = 7) -> list[tuple[str, list[tuple[int, int]]]]:
+def made_lines(words: list[str], n: int, seed: int = 7, frames: tuple[str, ...] = _FRAMES, plain_frames: tuple[str, ...] = _PLAIN) -> list[tuple[str, list[tuple[int, int]]]]:
     """Made-up lines with the spans of their secrets; every other line has none."""
     rng = np.random.default_rng(seed)
     letters = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-"]
@@ -238,9 +244,9 @@ def made_lines(words: list[str], n: int, seed: int = 7) -> list[tuple[str, list[
         if k % 2:
             kind = letters[rng.integers(len(letters))]
             secret = "".join(rng.choice(list(kind), rng.integers(16, 44)))
-            frame = _FRAMES[rng.integers(len(_FRAMES))]
+            frame = frames[rng.integers(len(frames))]
         else:
-            secret, frame = plain[rng.integers(len(plain))], _PLAIN[rng.integers(len(_PLAIN))]
+            secret, frame = plain[rng.integers(len(plain))], plain_frames[rng.integers(len(plain_frames))]
         head, hole, tail = frame.partition("{}")
         text = f"{before} {head}".lstrip()
         spans = [(len(text), len(text) + len(secret))] if k % 2 else []
@@ -249,23 +255,37 @@ def made_lines(words: list[str], n: int, seed: int = 7) -> list[tuple[str, list[
 
 
 def _tagged(text: str, spans: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Lines of a text as (features, tags), for fitting; long lines are cut to the 64 tokens around their first secret, or the first 64."""
+    """Lines of a text as (features, tags), for fitting; longer lines are several stretches."""
     raw = text.encode()
     words, line, table = features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
     tags = np.zeros(len(words.start), np.int64)
     for a, b in spans:
         x, y = len(text[:a].encode()), len(text[:b].encode())
-        at = np.flatnonzero((words.start < y) & (words.end > x))
+        at = np.arange(np.searchsorted(words.end, x, "right"), np.searchsorted(words.start, y))
         tags[at[:1]], tags[at[1:]] = 1, 2
-    for k in range(line[-1] + 1 if len(line) else 0):
-        at = np.flatnonzero(line == k)
-        hot = np.flatnonzero(tags[at] == 1)
-        a = max(0, int(hot[0]) - 32) if len(hot) else 0
-        at = at[a : a + 64]
-        t = tags[at].copy()
-        if len(t) and t[0] == 2:
-            t[0] = 1
-        yield table[at], t
+    bounds = np.append(np.flatnonzero(np.diff(line, prepend=-1)), len(line))
+    for a, b in zip(bounds, bounds[1:]):
+        for c in range(a, b, STRETCH):
+            t = tags[c : min(c + STRETCH, b)].copy()
+            if t[0] == 2:
+                t[0] = 1
+            yield table[c : min(c + STRETCH, b)], t
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to stretches of their lines: a hash, whether a secret begins in it, its features and tags."""
+    for batch in batches:
+        for text in textblocks.column(batch, "text"):
+            text = text.as_py() or ""
+            found = [(f, t) for f, t in _tagged(text, [(s, e) for s, _, e in base_spans(text)])]
+            names = [hashlib.md5(f.tobytes() + t.tobytes()).digest()[:8] for f, t in found]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int.from_bytes(x, "little", signed=True) for x in names], pa.int64()), pa.array([bool((t == 1).any()) for _, t in found], pa.bool_()),
+                    pa.array([f.ravel().astype(np.int32) for f, _ in found], pa.list_(pa.int32())), pa.array([t.astype(np.int32) for _, t in found], pa.list_(pa.int32())),
+                ],
+                ["key", "hot", "x", "y"],
+            )
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Field:
@@ -273,25 +293,23 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Field:
     whole = F.col(text).cast("string")
     # Half of the sample are documents with a cue, which are rare. What is scanned for secrets is every document.
     cue = F.rlike("text", F.lit("(?i)(passw|secret|token|api_?key)"))
-    rows = docs.select(F.xxhash64(F.col(doc_id), whole).alias("key"), whole.alias("text")).where(F.octet_length("text") <= LONGEST).withColumn("cue", cue)
+    rows = docs.select(F.xxhash64(F.col(doc_id), whole).alias("key"), whole.alias("text")).where(F.octet_length("text") > 0).withColumn("cue", cue)
     of = rows.agg(F.count_if("cue"), F.count_if(~F.col("cue"))).first()
     chosen = rows.where(F.when(F.col("cue"), chance(F.col("key"), SAMPLE // 2, of[0])).otherwise(chance(F.col("key"), SAMPLE // 2, of[1])))
-    pool = chosen.groupBy("key").agg(F.first("cue").alias("cue"), F.first("text").alias("text")).limit(SAMPLE).collect()
-    pool = [r["text"] for r in sorted(pool, key=lambda r: (not r["cue"], r["key"]))]
-    found: dict[bool, list] = {True: [], False: []}
-    names: dict[str, None] = {}
-    for t in pool:
-        if all(len(x) >= LINES for x in found.values()):
-            break
-        names.update(dict.fromkeys(w for w in t.split()[:50] if w.isalpha()))
-        spans = [(s, e) for s, _, e in base_spans(t)]
-        for f, y in _tagged(t, spans):
-            sort = bool(y.any())
-            if len(y) and len(found[sort]) < LINES:
-                found[sort].append((f, y))
-    words = list(names)[:2000] or "the of and to in a is that for it".split()
-    made = [x for t, s in made_lines(words, LINES) for x in _tagged(t, s) if len(x[1])]
-    return Field().fit(found[True] + found[False] + made)
+    pool = saved(modest(chosen).groupBy("key").agg(F.first("text").alias("text")).select("text"), "sample")
+    # Equal stretches count once, so a line that half of the corpus repeats is one of them.
+    stretches = saved(pool.mapInArrow(_stretches, "key bigint, hot boolean, x array<int>, y array<int>").groupBy("key").agg(F.first("hot").alias("hot"), F.first("x").alias("x"), F.first("y").alias("y")), "stretches")
+    of = stretches.agg(F.count_if("hot"), F.count_if(~F.col("hot"))).first()
+    lines = []
+    for sort, n in ((F.col("hot"), of[0]), (~F.col("hot"), of[1])):
+        taken = stretches.where(sort & chance(F.col("key"), LINES, n)).limit(LINES).collect()
+        lines += [(np.array(r["x"], np.int64).reshape(-1, len(SIZES)), np.array(r["y"], np.int64)) for r in sorted(taken, key=lambda r: r["key"])]
+    word = F.explode(F.split("text", r"[^\p{L}]+")).alias("word")
+    words = pool.select(word).where(F.length("word").between(1, 30)).distinct().orderBy(F.xxhash64("word"), "word").limit(VOCABULARY).collect()
+    made = made_lines([r["word"] for r in words] or "the of and to in a is that for it".split(), LINES)
+    forget(pool)
+    forget(stretches)
+    return Field().fit(lines + [x for t, s in made for x in _tagged(t, s)])
 
 
 def spans_of(field: Field, texts: pa.Array) -> list[list[tuple[int, str, int]]]:
@@ -317,48 +335,62 @@ def spans_of(field: Field, texts: pa.Array) -> list[list[tuple[int, str, int]]]:
             if not (assign or access or hexes[k] or len(tagged)):
                 out.append([])
                 continue
-            text = raw.decode()
-            spans = base_spans(text, assign, access, hexes[k])
+            spans = base_spans(raw.decode(), assign, access, hexes[k])
             if len(tagged):
-                taken = [(s[0], s[2]) for s in spans]
+                # Code points before each byte, and up to where the base spans that begin before one reach.
+                points = np.concatenate([[0], np.cumsum((b[first[k] : first[k + 1]] & 0xC0) != 0x80)])
+                begins, reach = [s[0] for s in spans], list(accumulate((s[2] for s in spans), max))
                 for t in tagged.tolist():
                     last = t
                     while last + 1 < len(tags) and tags[last + 1] == 2 and line[last + 1] == line[t]:
                         last += 1
-                    x, y = words.start[t] - first[k], words.end[last] - first[k]
-                    s = len(raw[:x].decode())
-                    e = s + len(raw[x:y].decode())
-                    if not any(s < q and p < e for p, q in taken):
+                    s, e = int(points[words.start[t] - first[k]]), int(points[words.end[last] - first[k]])
+                    before = bisect_left(begins, e)
+                    if not before or reach[before - 1] <= s:
                         spans.append((s, "crf", e))
                 spans.sort(key=lambda s: (s[0], KINDS.index(s[1])))
             out.append(spans)
     return out
 
 
+def base_matches(text: str, spans: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """The base spans of a text with the whole match in place of an assignment's value."""
+    matches = [(m.start(), "assign", m.end()) for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8] if any(s[1] == "assign" for s in spans) else []
+    return sorted([*matches, *(s for s in spans if s[1] not in ("assign", "crf"))], key=lambda s: (s[0], KINDS.index(s[1])))
+
+
 def _joined(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in spans)
 
 
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def _report(field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = spans_of(field.value, textblocks.column(batch, "text"))
+            texts = textblocks.column(batch, "text")
+            found = spans_of(field.value, texts)
+            whole = [_joined(base_matches(t.as_py(), x)) if any(s[1] == "assign" for s in x) else _joined([s for s in x if s[1] != "crf"]) for t, x in zip(texts, found)]
             base = [[s for s in x if s[1] != "crf"] for x in found]
             counts = [pa.array([sum(s[1] == k for s in x) for x in base], pa.int64()) for k in KINDS[:3]]
             yield pa.RecordBatch.from_arrays(
-                [textblocks.column(batch, "doc_id"), *counts, pa.array([hashlib.sha256(_joined(x).encode()).hexdigest() for x in base], pa.string()), pa.array([_joined(x) for x in found], pa.string())],
-                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                [textblocks.column(batch, "doc_id"), *counts, *(pa.array(c, pa.string()) for c in ([_digest(_joined(x)) for x in base], [_joined(x) for x in found], map(_digest, whole)))],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "base_match_sha256"],
             )
 
     return run
 
 
 def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans ("kind:start:end" joined by commas)."""
+    """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans ("kind:start:end" joined by commas), base_match_sha256.
+
+    The span of an assignment is its value; ``base_match_sha256`` is the digest with the whole match in its place."""
     field = docs.sparkSession.sparkContext.broadcast(fit(docs, doc_id, text))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = modest(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_report(field), f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")
+    return rows.mapInArrow(_report(field), f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, base_match_sha256 string")
 
 
 def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by: str = "[SECRET]") -> DataFrame:

@@ -107,3 +107,63 @@ def best(vectors, k=5, every=50):
             s = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in good if j != i)[:k]
             out += [(i, r + 1, j, -n) for r, (n, j) in enumerate(s)]
     return sorted(out)
+
+
+def secret_base(text):
+    """(kind, start, end, start of the match) of base secrets, character by character."""
+    text, out, at = text or "", [], 0
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+
+    def after(i, few):
+        return i + 1 if i < len(text) and text[i] in few else i
+
+    while at < len(text):
+        end = None
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, at):
+                i = after(at + len(name), "\"'")
+                while i < len(text) and text[i] == " ":
+                    i += 1
+                if i < len(text) and text[i] in ":=":
+                    i += 1
+                    while i < len(text) and text[i] == " ":
+                        i += 1
+                    i = after(i, "\"'")
+                    e = i
+                    while e < len(text) and text[e] in value:
+                        e += 1
+                    if e > i:
+                        if e - i >= 8:
+                            out.append(("assign", i, e, at))
+                        end = e
+                        break
+        at = end or at + 1
+    i = 0
+    while (i := text.find("AKIA", i)) >= 0:
+        e = i + 4
+        while e < len(text) and ("A" <= text[e] <= "Z" or "0" <= text[e] <= "9"):
+            e += 1
+        if e == i + 4:
+            i += 1
+            continue
+        if e - i >= 16:
+            out.append(("access", i, e, i))
+        i = e
+    i = 0
+    while i < len(text):
+        e = i
+        while e < len(text) and text[e] in "0123456789abcdef":
+            e += 1
+        if e - i >= 32:
+            out.append(("hex", i, e, i))
+        i = max(e, i + 1)
+    return out
+
+
+def secret_digests(text):
+    """Counts by kind and the two digests of base spans: with the value of an assignment, and with its whole match."""
+    kinds = ("assign", "access", "hex")
+    found = secret_base(text)
+    joined = lambda which: ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted((x[which], kinds.index(x[0]), x[0], x[2]) for x in found))
+    return (*(sum(x[0] == k for x in found) for k in kinds), *(hashlib.sha256(joined(w).encode()).hexdigest() for w in (1, 3)))

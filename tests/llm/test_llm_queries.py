@@ -66,6 +66,7 @@ def test_secrets(spark, texts):
     for i, t in texts:
         base = secrets._joined(secrets.base_spans(t))
         assert [p for p in got[i]["spans"].split(",") if not p.startswith("crf")] == base.split(",")
+        assert (got[i]["n_assign"], got[i]["n_access"], got[i]["n_hex"], got[i]["base_sha256"], got[i]["base_match_sha256"]) == brute.secret_digests(t)
 
 
 def test_lm_score(spark, texts):

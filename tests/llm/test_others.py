@@ -337,16 +337,38 @@ def test_base_spans(odd_docs, odd_rows, no_docs):
     both = f'token = "{"0f" * 20}"'
     assert [(k, both[s:e]) for s, k, e in secrets.base_spans(both)] == [("assign", "0f" * 20), ("hex", "0f" * 20)]
     got = rows(secrets.secret_spans(odd_docs))
-    want = []
-    for r in odd_rows:
-        s = secrets.base_spans(r[1] or "")
-        want.append((r[0], *(sum(x[1] == k for x in s) for k in ("assign", "access", "hex")), hashlib.sha256(secrets._joined(s).encode()).hexdigest()))
-    assert [r[:5] for r in got] == sorted(want, key=key)
+    assert [(*r[:5], r[6]) for r in got] == sorted(((r[0], *brute.secret_digests(r[1])) for r in odd_rows), key=key)
     for r in got:
         assert [p for p in r[5].split(",") if p] == sorted((p for p in r[5].split(",") if p), key=lambda p: (int(p.split(":")[1]), secrets.KINDS.index(p.split(":")[0])))
     assert secrets.secret_spans(no_docs).collect() == []
 
 
+def test_base_spans_against_a_scan_by_hand(spark):
+    rng = random.Random(8)
+    parts = ["password", "PASSWD", "secret", "Token", "api_key", "apikey", "api", "=", ":", " ", "  ", "'", '"', "AKIA", "A1B2C3D4E5F6", "0123456789abcdef", "deadbeef", "z", "é", "🙂", "\n", "ſecret", "x.y/z+w-", "tokentoken", "AKIAAKIA"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(2500)]
+    for t in texts:
+        found = sorted((k, s, e) for s, k, e in secrets.base_spans(t))
+        assert found == sorted((k, s, e) for k, s, e, _ in brute.secret_base(t))
+        assert sorted((k, s, e) for s, k, e in secrets.base_matches(t, secrets.base_spans(t))) == sorted((k, m, e) for k, _, e, m in brute.secret_base(t))
+
+
+def test_long_texts_with_many_secrets(spark, field):
+    """3 MB on one line: every secret is found, and every stretch of the line may be fitted on."""
+    words = "river mill town bridge stone water quiet garden market street letter".split()
+    lines = secrets.made_lines(words, 40_000, seed=3)
+    text, spans = " ".join(t for t, _ in lines), []
+    at = 0
+    for t, s in lines:
+        spans += [(at + a, at + b) for a, b in s]
+        at += len(t) + 1
+    found = [(s, e) for s, _, e in secrets.spans_of(field, pa.array(["x", text]))[1]]
+    assert len(text) > 2_500_000 and found == sorted(found)
+    assert len(set(found) & set(spans)) > 0.85 * len(spans)
+    stretches = list(secrets._tagged(text, spans))
+    assert sum(len(t) for _, t in stretches) == len(secrets.features(*textblocks.raw(pa.array([text])))[1]) and sum((t == 1).sum() for _, t in stretches) >= len(spans)
+
+
 @pytest.fixture(scope="module")
 def field():
     words = "river mill town bridge stone water quiet garden market street letter".split()
@@ -366,6 +388,23 @@ def test_field_finds_secrets_in_lines_held_out(field):
     assert right / (right + missed) > 0.9 and wrong / 400 < 0.03
 
 
+#: Surroundings that are not among those of the fit.
+NEW_FRAMES = ('SECRET_KEY_BASE = {}', 'credential: "{}"', "db_pass={}", "--auth={}", 'login with passphrase "{}"', "Authorization: Basic {}", "my key: {}", "ACCESS_TOKEN_2='{}'", "the pwd is {}", "signing_key={}")
+NEW_PLAIN = ("release {}", "room {} at noon", "price = {}", "see chapter {}", "name: {}", "ticket {} closed", "http://example.com/{}", "total: {}", "the key point", "a token of thanks", "pass the {} bridge")
+
+
+def test_field_in_surroundings_that_it_was_not_fitted_on(field):
+    words = "harbour castle tower winter summer forest valley".split()
+    right = missed = wrong = 0
+    for text, spans in secrets.made_lines(words, 1000, 99, NEW_FRAMES, NEW_PLAIN):
+        found = {(s, e) for s, _, e in secrets.spans_of(field, pa.array([text]))[0]}
+        right += sum(s in found for s in spans)
+        missed += sum(s not in found for s in spans)
+        wrong += len(found - set(spans))
+    print("recall", right / (right + missed), "precision", right / (right + wrong))
+    assert right / (right + missed) > 0.6 and right / (right + wrong) > 0.9
+
+
 def test_viterbi_against_all_paths(field):
     from itertools import product
 
