@@ -139,6 +139,7 @@ SELECT n.doc_id, n.n AS n_shingles, coalesce(m.comp, n.doc_id) AS component_id,
 FROM n LEFT JOIN m ON n.n > 0 AND m.k = list_sort(n.sh)""",
     "op4_mixing": f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SPACED}')) AS size FROM documents),
+a AS (SELECT source, length(bin(greatest(size, 1))) AS lk, sum(size)::BIGINT AS cs FROM d GROUP BY ALL),
 s AS (SELECT source, sum(size)::BIGINT AS ss, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS k FROM d GROUP BY source),
 w AS (SELECT source, ss, [5, 2, 1][k] AS w FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY 3.0 * ss / w, source) AS n, sum(3 * ss) OVER u AS caps, sum(w) OVER u AS ws, (SELECT sum(ss) FROM w) AS t, (SELECT sum(w) FROM w) AS wt
@@ -146,9 +147,12 @@ o AS (SELECT *, row_number() OVER (ORDER BY 3.0 * ss / w, source) AS n, sum(3 *
 r AS (SELECT CAST(t - coalesce(caps, 0) AS DOUBLE) / CAST(wt - coalesce(ws, 0) AS DOUBLE) AS share, n FROM o
       WHERE w * (CAST(t - coalesce(caps, 0) AS DOUBLE) / CAST(wt - coalesce(ws, 0) AS DOUBLE)) <= 3 * ss ORDER BY n LIMIT 1),
 g AS (SELECT source, ss, least(w * share, CAST(3 * ss AS DOUBLE)) AS target FROM w, r),
-e AS (SELECT doc_id, d.source, size, ss, target, CASE WHEN ss > 0 THEN least(target / CAST(ss AS DOUBLE) * 1.0::DOUBLE, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS x,
+b AS (SELECT a.source, lk, target, 3 * coalesce(sum(cs) OVER (v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(cs * lk) OVER (v ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS mass
+      FROM a JOIN g ON a.source IS NOT DISTINCT FROM g.source WINDOW v AS (PARTITION BY a.source ORDER BY lk DESC)),
+h AS (SELECT source, arg_max((target - CAST(held AS DOUBLE)) / CAST(mass AS DOUBLE), lk) AS rate FROM b WHERE mass > 0 AND (target - CAST(held AS DOUBLE)) / CAST(mass AS DOUBLE) * lk <= 3 GROUP BY source),
+e AS (SELECT doc_id, d.source, size, ss, target, CASE WHEN ss > 0 THEN least(coalesce(rate * length(bin(greatest(size, 1))), 3.0::DOUBLE), 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS x,
       (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN h ON d.source IS NOT DISTINCT FROM h.source),
 q AS (SELECT *, floor(x) AS whole, x - floor(x) AS p FROM e),
 f AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN (u * (1 - p)) / ((1 - u) * p) END AS odds FROM q),
 l AS (SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS lack,
