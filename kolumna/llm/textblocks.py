@@ -129,6 +129,31 @@ def unpacked(held: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(_U, copy=False)
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers, most of them small, in seven-bit groups, compressed."""
+    v = values.astype(_U)
+    size = np.ones(len(v), np.int64)
+    for k in range(1, 10):
+        size += v >= _U(1 << (7 * k))
+    out = np.zeros(int(size.sum()), np.uint8)
+    at = np.cumsum(size) - size
+    for k in range(int(size.max(initial=0))):
+        m = size > k
+        out[at[m] + k] = ((v[m] >> _U(7 * k)) & _U(127)).astype(np.uint8) | np.where(size[m] > k + 1, 128, 0).astype(np.uint8)
+    return len(out).to_bytes(8, "little") + pa.compress(out.tobytes(), "zstd", asbytes=True)
+
+
+def unsqueezed(held: bytes) -> np.ndarray:
+    n = int.from_bytes(held[:8], "little")
+    b = np.frombuffer(pa.decompress(held[8:], n, "zstd", asbytes=True), np.uint8)
+    if not n:
+        return np.zeros(0, np.int64)
+    last = np.flatnonzero(b < 128)
+    first = np.concatenate([[0], last[:-1] + 1])
+    place = np.arange(n) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((b & 127).astype(_U) << (7 * place).astype(_U), first).astype(np.int64)
+
+
 _pow = np.ones(1, _U)
 
 

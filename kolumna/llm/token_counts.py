@@ -110,7 +110,7 @@ def count_batch(counter: Counter, texts: pa.Array) -> np.ndarray:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents to blocks: ids, sizes, packed frequencies, and the distinct pre-tokens in the order of their hashes."""
-    place, number = TaskContext.get().partitionId() << 32, 0
+    start, number = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
         texts = textblocks.column(batch, "text")
         _, offsets = textblocks.raw(texts)
@@ -118,17 +118,22 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = j - i
             names, text, token, times = frequencies(texts.slice(i, n))
             buf, starts = textblocks.raw(names)
-            hashes = textblocks.hashes(buf, starts)
-            by = np.argsort(hashes, kind="stable")
+            by = np.argsort(textblocks.hashes(buf, starts), kind="stable")
             rank = np.empty(len(by), np.int64)
             rank[by] = np.arange(len(by))
-            ordered = names.take(pa.array(by)).cast(pa.large_binary())
-            data, starts = textblocks.raw(ordered)
+            data, starts = textblocks.raw(names.take(pa.array(by)))
+            tokens = data[starts[0] : starts[-1]].tobytes()
+            # A text's pre-tokens in order, each by how many places it is past the one before.
+            order = np.lexsort((rank[token], text))
+            place, text = rank[token][order], text[order]
+            step = np.diff(place, prepend=-1) - 1
+            first = np.flatnonzero(np.diff(text, prepend=-1))
+            step[first] = place[first]
             lists = [pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), textblocks.column(batch, c).slice(i, n)) for c in ("doc_id", "n_bytes")]
-            held = [textblocks.packed(np.bincount(text, minlength=n)), textblocks.packed(rank[token]), textblocks.packed(times), textblocks.packed(np.diff(starts)), data[starts[0] : starts[-1]].tobytes(), textblocks.packed(hashes[by])]
+            held = [*map(textblocks.squeezed, (np.bincount(text, minlength=n), step, times[order] - 1, np.diff(starts))), pa.compress(tokens, "zstd", asbytes=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([place + number]), *lists, *(pa.array([x], pa.binary()) for x in held), pa.array([len(held[4])], pa.int64())],
-                ["block", "doc_id", "n_bytes", "distinct", "number", "times", "lengths", "tokens", "hashes", "size"],
+                [pa.array([start + number]), *lists, *(pa.array([x], pa.binary()) for x in held), pa.array([len(tokens)], pa.int64())],
+                ["block", "doc_id", "n_bytes", "distinct", "step", "times", "lengths", "tokens", "size"],
             )
             number += 1
 
@@ -139,12 +144,13 @@ def _asked(shards: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, lengths, tokens, hashes in zip(*(textblocks.column(batch, c).to_pylist() for c in ("block", "lengths", "tokens", "hashes"))):
-                size, cut = textblocks.unpacked(lengths).astype(np.int64), [*np.searchsorted(textblocks.unpacked(hashes), starts).tolist()]
+            for block, lengths, tokens, n in zip(*(textblocks.column(batch, c).to_pylist() for c in ("block", "lengths", "tokens", "size"))):
+                size, tokens = textblocks.unsqueezed(lengths), pa.decompress(tokens, n, "zstd", asbytes=True)
                 ends = np.concatenate([[0], np.cumsum(size)])
+                cut = np.searchsorted(textblocks.hashes(np.frombuffer(tokens, np.uint8), ends), starts).tolist()
                 parts = [(k, a, b) for k, (a, b) in enumerate(zip(cut, [*cut[1:], len(size)])) if b > a]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _, _ in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array([textblocks.packed(size[a:b]) for _, a, b in parts], pa.binary()), pa.array([tokens[ends[a] : ends[b]] for _, a, b in parts], pa.binary())],
+                    [pa.array([k for k, _, _ in parts], pa.int64()), pa.array([block] * len(parts), pa.int64()), pa.array([textblocks.squeezed(size[a:b]) for _, a, b in parts], pa.binary()), pa.array([pa.compress(tokens[ends[a] : ends[b]], "zstd", asbytes=True) for _, a, b in parts], pa.binary())],
                     ["shard", "block", "lengths", "tokens"],
                 )
 
@@ -155,26 +161,28 @@ def _answered(path: str):
     """What blocks ask of a shard to the pieces of each of their pre-tokens: every distinct one is counted once."""
 
     def run(asked: pa.Table) -> pa.Table:
-        lengths = [textblocks.unpacked(x).astype(np.int64) for x in textblocks.column(asked, "lengths").to_pylist()]
+        lengths = [textblocks.unsqueezed(x) for x in textblocks.column(asked, "lengths").to_pylist()]
         ends = np.concatenate([[0], np.cumsum(np.concatenate(lengths))])
-        held = b"".join(textblocks.column(asked, "tokens").to_pylist())
+        held = b"".join(pa.decompress(x, int(n.sum()), "zstd", asbytes=True) for x, n in zip(textblocks.column(asked, "tokens").to_pylist(), lengths))
         tokens = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(held))
         coded = tokens.dictionary_encode()
         pieces = Counter(path).of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         cut = np.concatenate([[0], np.cumsum([len(x) for x in lengths])])
-        return pa.Table.from_arrays([textblocks.column(asked, "block"), textblocks.column(asked, "shard"), pa.array([textblocks.packed(pieces[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())], names=["block", "shard", "pieces"])
+        return pa.Table.from_arrays([textblocks.column(asked, "block"), textblocks.column(asked, "shard"), pa.array([textblocks.squeezed(pieces[a:b]) for a, b in zip(cut, cut[1:])], pa.binary())], names=["block", "shard", "pieces"])
 
     return run
 
 
 def _summed(blocks: pa.Table, answers: pa.Table) -> pa.Table:
     """A block's frequencies and its answers to each document's tokens."""
-    ids, sizes, distinct, number, times = (textblocks.column(blocks, c) for c in ("doc_id", "n_bytes", "distinct", "number", "times"))
+    ids, sizes = (textblocks.column(blocks, c) for c in ("doc_id", "n_bytes"))
     by = np.argsort(textblocks.column(answers, "shard").to_numpy())
     held = textblocks.column(answers, "pieces").to_pylist()
-    pieces = np.concatenate([np.zeros(0, _U), *(textblocks.unpacked(held[k]) for k in by)]).astype(np.int64)
-    distinct, number, times = (textblocks.unpacked(c[0].as_py()).astype(np.int64) for c in (distinct, number, times))
-    total = np.bincount(np.repeat(np.arange(len(distinct)), distinct), pieces[number] * times, minlength=len(distinct)).astype(np.int64)
+    pieces = np.concatenate([np.zeros(0, np.int64), *(textblocks.unsqueezed(held[k]) for k in by)])
+    distinct, step, times = (textblocks.unsqueezed(textblocks.column(blocks, c)[0].as_py()) for c in ("distinct", "step", "times"))
+    place = np.cumsum(step + 1)
+    place -= np.repeat(np.concatenate([[0], place])[np.cumsum(distinct) - distinct], distinct) + 1
+    total = np.bincount(np.repeat(np.arange(len(distinct)), distinct), pieces[place] * (times + 1), minlength=len(distinct)).astype(np.int64)
     return pa.Table.from_arrays([ids.flatten(), sizes.flatten(), pa.array(total)], names=["doc_id", "n_bytes", "n_tokens"])
 
 
@@ -183,14 +191,14 @@ def token_counts(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     kind = docs.schema[doc_id].dataType.simpleString()
     whole = F.col(text).cast("string")
     rows = modest(docs).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(whole), F.lit(0)).cast("long").alias("n_bytes"), whole.alias("text"))
-    packed = ("distinct", "number", "times", "lengths", "tokens", "hashes")
+    packed = ("distinct", "step", "times", "lengths", "tokens")
     blocks = saved(rows.mapInArrow(_blocks, f"block bigint, doc_id array<{kind}>, n_bytes array<bigint>, {', '.join(f'{c} binary' for c in packed)}, size bigint"), "blocks")
     n, size = blocks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
 
     # Both sides are dealt to as many partitions as there are blocks or shards, so a task's share does not grow with the input.
     n, shards = max(1, n), max(1, math.ceil(size / SHARD))
-    asked = blocks.select("block", "lengths", "tokens", "hashes").mapInArrow(_asked(shards), "shard bigint, block bigint, lengths binary, tokens binary")
+    asked = blocks.select("block", "lengths", "tokens", "size").mapInArrow(_asked(shards), "shard bigint, block bigint, lengths binary, tokens binary")
     answers = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_answered(model), "block bigint, shard bigint, pieces binary")
-    held = blocks.select("block", "doc_id", "n_bytes", "distinct", "number", "times").repartition(n, "block").groupBy("block")
+    held = blocks.select("block", "doc_id", "n_bytes", "distinct", "step", "times").repartition(n, "block").groupBy("block")
     found = held.cogroup(answers.repartition(n, "block").groupBy("block")).applyInArrow(_summed, f"doc_id {kind}, n_bytes bigint, n_tokens bigint")
     return found.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -35,6 +35,13 @@ def test_words_against_python(odd_rows):
     assert len(set(names.values())) == len(names)
 
 
+def test_numbers_come_back_from_their_packing():
+    rng = np.random.default_rng(2)
+    for v in (np.zeros(0, np.int64), np.array([0]), np.array([127, 128, 16383, 16384, 2**40, 2**62]), rng.integers(0, 300, 5000), 2 ** rng.integers(0, 62, 3000)):
+        assert textblocks.unsqueezed(textblocks.squeezed(v)).tolist() == v.tolist()
+        assert textblocks.unpacked(textblocks.packed(v)).tolist() == v.tolist()
+
+
 # Quality
 
 @pytest.fixture(scope="module")
