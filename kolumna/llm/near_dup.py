@@ -14,8 +14,10 @@ bucket are compared, in blocks of bounded size and by odd sketches of the
 whole sets as well: those never differ in more bits than the sets do in
 shingles, so that they part families just below the threshold without loss.  After both steps every pair
 of a bucket is either in one component or was compared, so no link between
-candidates is lost.  A pair at similarity 0.8 shares no bucket with
-probability (1 - 0.8^5)^40 = 1.2e-7, and less above.
+candidates is lost.  A bucket of n classes that stay apart costs n^2 / 2 bit
+comparisons and n^2 / ``BLOCK`` rows.  A pair at similarity 0.8 shares no
+bucket with probability (1 - 0.8^5)^40 = 1.2e-7, and its sketches put it below
+``SKETCH_FLOOR``, five deviations off, with about 3e-7; both are less above.
 
 Defined cases: a null or empty text, or one without words, has no shingles
 and links with nothing; fewer words than a shingle make one shingle; rows that
@@ -44,6 +46,10 @@ SKETCH_BITS = 512
 SKETCH_FLOOR = 0.6
 #: Bits of a set's own parity bitmap for each of its shingles, at least.
 PARITY = 4
+#: Bits of such a bitmap, at most: beyond, sets of about 300,000 shingles, it parts fewer pairs, and more are confirmed in full.
+MOST_BITS = 1 << 17
+#: Pairs with one and the same least class that are confirmed together; more are several chunks, each with a copy of its text.
+SPOKES = 64
 #: Classes of a bucket that are compared at once.
 BLOCK = 2048
 
@@ -95,7 +101,7 @@ def bands_and_sketch(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def parity(hashes: np.ndarray) -> bytes:
     """Odd sketch of a whole set: a power of two of bits. Two of them differ in as many bits as the sets differ in shingles, or fewer."""
-    bits = max(64, 1 << (PARITY * len(hashes) - 1).bit_length())
+    bits = min(MOST_BITS, max(64, 1 << (PARITY * len(hashes) - 1).bit_length()))
     at = (hashes & _U(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -138,29 +144,39 @@ def _sign(size: int):
 
 
 def _confirm(size: int, percent: int):
-    """(a, b, a_text, b_text) to the links: pairs whose full sets are similar enough."""
-
-    def one(text: str) -> np.ndarray:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        return shingle_sets(raw, np.array([0, len(raw)]), size)[0]
+    """Rows (a, chunk, side, b, text), sorted by the first three, to the links: of side 0 the texts of a, of side 1 those of each b that it may be linked with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, left = None, None
+        at, held = None, []
         for batch in batches:
-            rows = []
-            for k, (x, y) in enumerate(zip(textblocks.column(batch, "a_text"), textblocks.column(batch, "b_text"))):
-                x = x.as_py() or ""
-                if x != held:
-                    held, left = x, one(x)
-                right = one(y.as_py() or "")
-                common = len(np.intersect1d(left, right, assume_unique=True))
-                if common and 100 * common >= percent * (len(left) + len(right) - common):
-                    rows.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(rows, pa.int32()))
+            buf, offsets = textblocks.raw(textblocks.column(batch, "text"))
+            a, chunk, side, b = (textblocks.column(batch, c).to_pylist() for c in ("a", "chunk", "side", "b"))
+            found = []
+            for i, j in textblocks.blocks(offsets):
+                hashes, first = shingle_sets(buf, offsets[i : j + 1], size)
+                for k in range(i, j):
+                    mine = hashes[first[k - i] : first[k - i + 1]]
+                    if (a[k], chunk[k]) != at:
+                        at, held = (a[k], chunk[k]), []
+                    if side[k] == 0:
+                        held.append(mine.copy())
+                    elif any(_similar(x, mine, percent) for x in held):
+                        found.append((a[k], b[k]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the intersection of two sorted sets is that share of their union, or more."""
+    if len(x) < len(y):
+        x, y = y, x
+    if not len(y) or 100 * len(y) < percent * len(x):
+        return False
+    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _within(most: int, percent: int):
     """Sorted members of buckets (bucket, i, j, block, rep, component, n_shingles, sketch, parity, least) to the pairs in
     different components that may be links: sketches near enough, then bitmaps of the whole sets, which no link fails."""
@@ -239,9 +255,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pairs.join(right, "b").join(left, "a").where((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (differ <= most)).select("a", "b").distinct()
 
     def links(pairs: DataFrame) -> DataFrame:
-        texts = rows.where("doc_id is not null")
-        both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-        return both.mapInArrow(_confirm(shingle, percent), "a bigint, b bigint").distinct()
+        # Texts of documents in pairs; a hub's text goes to each chunk of its pairs, not to each pair, and no key holds all of them.
+        needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        texts = saved(rows.where("doc_id is not null").join(needed, "doc_id", "left_semi"), "texts")
+        chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPOKES).cast("int").alias("chunks"))
+        hubs = chunks.where("chunks > 1").select(F.col("a").alias("hub"), F.col("chunks").alias("parts"))
+        chunk = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("parts"))).cast("int")
+        spokes = pairs.join(hubs, F.col("a") == F.col("hub"), "left").select("a", "b", chunk.alias("chunk")).join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
+        centres = texts.select(F.col("doc_id").alias("a"), "text").join(chunks, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("b"), "text")
+        both = centres.unionByName(spokes.select("a", "chunk", F.lit(1).alias("side"), "b", "text"))
+        return both.repartition(width(docs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "side").mapInArrow(_confirm(shingle, percent), "a bigint, b bigint").distinct()
 
     buckets = members.groupBy("bucket").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
     spokes = members.join(buckets, "bucket").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()

@@ -60,8 +60,11 @@ def statistics(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     words = textblocks.Words(buf, offsets)
     b = words.buf
     size = np.diff(offsets).astype(float)
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    grid = np.bincount(owner * 256 + b, minlength=n * 256).reshape(n, 256)
+    grid, at = np.zeros(n * 256, np.int64), offsets - offsets[0]
+    for a in range(0, len(b), textblocks.STEP):
+        owner = np.repeat(np.arange(n), np.diff(np.clip(at, a, a + textblocks.STEP)))
+        grid += np.bincount(owner * 256 + b[a : a + textblocks.STEP], minlength=n * 256)
+    grid = grid.reshape(n, 256)
     classes = grid @ _WEIGHT.T
     text = words.text_of
     count = np.diff(words.first).astype(float)

@@ -10,9 +10,12 @@ shuffled by key and searched by interval expansion on a Burrows-Wheeler
 transform (:mod:`kolumna.llm.bwt`) in small blocks.
 
 Equal texts are one class and equal runs one string with a multiplicity, so
-a group of copies costs one of it.  A key with more than ``HOT`` runs is
-split by content over several blocks; what those blocks hold as distinct
-windows is compared once more by 128-bit digest.
+a group of copies costs one of it; texts and runs are told apart by digests of
+128 bits.  A run is cut after ``PIECE`` windows, so that a text of one repeated
+phrase is many runs, most of them equal.  A key whose runs hold more than
+``HOT`` times 300 bytes is split by content over several blocks: within a block
+the transform finds the repeats, and the distinct windows of all its blocks are
+compared once more by digest.  All other repeats come from the transform.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing;
 a text that occurs twice (repeated rows included) loses everything if it has
@@ -37,8 +40,10 @@ LENGTH = 200
 GRAM = 32
 #: Bytes of distinct runs that one transform is built over (a key's runs stay together): what caches hold.
 BLOCK = 300_000
-#: Runs of one key beyond which it is split by content: about 0.9 MB, which bounds a block.
-HOT = 3_000
+#: Runs of one key (as so many times ``RUN`` bytes) beyond which it is split by content: 0.9 MB, which bounds a block.
+HOT, RUN = 3_000, 300
+#: Windows of a run, at most, and bytes of a text that are looked at together.
+PIECE, SEGMENT = 4_096, 1 << 20
 #: Bytes of distinct runs that a task gathers before it sends them on.
 HELD = 16 << 20
 
@@ -69,6 +74,7 @@ def runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray,
     none = np.zeros(0, np.int64)
     if len(buf) < length:
         return none, none, none, none, none.astype(bool)
+    offsets = offsets.astype(np.int64)
     inner = length - GRAM + 1
     grams = _grams(buf)
     keys = _sliding(grams, inner, np.minimum)
@@ -97,7 +103,25 @@ def runs(buf: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray,
     at = np.repeat(np.arange(len(start)), count)
     place = least[np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count) + lo[at]]
     again = np.bincount(at[grams[place] == key[at]], minlength=len(start)) > 1
-    return text, start - offsets[text], end - start, key.view(np.int64), again
+    # A long run is several, which share its key.
+    size = end - start
+    pieces = -(-size // PIECE)
+    k = np.repeat(np.arange(len(start)), pieces)
+    past = (np.arange(len(k)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+    return text[k], start[k] + past - offsets[text[k]], np.minimum(size[k] - past, PIECE), key.view(np.int64)[k], again[k]
+
+
+def _segments(buf: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[int, int, tuple[np.ndarray, ...]]]:
+    """Blocks of texts [i, j) and their runs; a text longer than ``SEGMENT`` is looked at in parts that overlap by all but one byte of a window."""
+    for i, j in textblocks.blocks(offsets):
+        if j - i > 1 or offsets[j] - offsets[i] <= 2 * SEGMENT:
+            yield i, j, runs(buf, offsets[i : j + 1], length)
+            continue
+        parts = []
+        for a in range(int(offsets[i]), int(offsets[j]) - length + 1, SEGMENT):
+            text, start, *rest = runs(buf, np.array([a, min(a + SEGMENT + length - 1, int(offsets[j]))]), length)
+            parts.append((text, start + a - int(offsets[i]), *rest))
+        yield i, j, tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def _lists(values: np.ndarray, rows: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
@@ -110,8 +134,7 @@ def _find_runs(length: int):
         for batch in batches:
             buf, offsets = textblocks.raw(textblocks.column(batch, "text"))
             ids = textblocks.column(batch, "text_key")
-            for i, j in textblocks.blocks(offsets):
-                text, start, size, key, again = runs(buf, offsets[i : j + 1], length)
+            for i, j, (text, start, size, key, again) in _segments(buf, offsets, length):
                 n = j - i
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(i, n), _lists(key, text, n, pa.int64()), _lists(start, text, n, pa.int32()), _lists(size, text, n, pa.int32()), _lists(again, text, n, pa.bool_())],
@@ -253,7 +276,8 @@ def repeated(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int
     found = texts.select("text_key", "text").mapInArrow(_find_runs(length), f"text_key binary, key {kinds.format('bigint')}, start {kinds.format('int')}, size {kinds.format('int')}, again {kinds.format('boolean')}")
     signs = saved(found.groupBy("text_key").agg(F.count("*").alias("copies"), F.first(F.struct("key", "start", "size", "again")).alias("r")).select("text_key", "copies", "r.*"), "runs")
     single = signs.select("text_key", "copies", F.explode(F.arrays_zip("key", "start", "size", "again")).alias("r")).select("text_key", "copies", "r.*")
-    keys = single.groupBy("key").agg(F.count("*").alias("among"), F.max("again").alias("again")).where("among > 1 or again").select("key", "among")
+    held = F.sum((F.col("size") + length - 1).cast("long"))
+    keys = single.groupBy("key").agg(F.count("*").alias("runs"), F.ceil(held / RUN).alias("among"), F.max("again").alias("again")).where("runs > 1 or again").select("key", "among")
     wanted = single.select("text_key", "copies", "key", "start", "size").join(keys, "key").groupBy("text_key", "copies").agg(F.collect_list(F.struct("key", "start", "size", "among")).alias("runs"))
     one = texts.select("text_key", F.encode("text", "UTF-8").alias("text")).groupBy("text_key").agg(F.first("text").alias("text"))
     candidates = saved(one.join(wanted, "text_key"), "candidates")

@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
+#: Bytes of a text that arrays of eight bytes for each of them are made over at once.
+STEP = 1 << 22
 
 _U = np.uint64
 _rng = np.random.default_rng(0x5EED)
@@ -92,14 +94,18 @@ class Words:
         self.start = np.flatnonzero(begins)
         self.end = np.flatnonzero(ends) + 1
         self.first = np.searchsorted(self.start, offsets)
-        length = self.end - self.start
-        if len(length):
-            at = np.cumsum(length) - length
-            pos = np.arange(int(length.sum())) - np.repeat(at, length)
-            value = BYTE_VALUES[FOLD[buf[inside]]] * _powers(int(length.max()))[pos]
-            self.hash = mix(np.add.reduceat(value, at) + length.astype(_U))
-        else:
-            self.hash = np.zeros(0, _U)
+        self.hash = (self.end - self.start).astype(_U)
+        past = 0
+        for a in range(0, len(buf), STEP):  # a word may lie over several steps
+            at = np.flatnonzero(inside[a : a + STEP])
+            if len(at):
+                begun = np.cumsum(begins[a : a + STEP])
+                word = past - 1 + begun[at]
+                past += int(begun[-1])
+                value = BYTE_VALUES[FOLD[buf[a : a + STEP][at]]] * _power(at + a - self.start[word])
+                first = np.flatnonzero(np.diff(word, prepend=-1))
+                self.hash[word[first]] += np.add.reduceat(value, first)
+        self.hash = mix(self.hash)
 
     @property
     def text_of(self) -> np.ndarray:
@@ -111,7 +117,7 @@ def hashes(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A hash of each string of a buffer, upper and lower case told apart."""
     size = np.diff(offsets)
     buf, at = buf[offsets[0] : offsets[-1]], offsets - offsets[0]
-    value = BYTE_VALUES[buf] * _powers(int(size.max(initial=0)))[np.arange(len(buf)) - np.repeat(at[:-1], size)]
+    value = BYTE_VALUES[buf] * _power(np.arange(len(buf)) - np.repeat(at[:-1], size))
     total = np.concatenate([np.zeros(1, _U), np.cumsum(value, dtype=_U)])
     return mix(total[at[1:]] - total[at[:-1]] + size.astype(_U))
 
@@ -154,15 +160,18 @@ def unsqueezed(held: bytes) -> np.ndarray:
     return np.add.reduceat((b & 127).astype(_U) << (7 * place).astype(_U), first).astype(np.int64)
 
 
-_pow = np.ones(1, _U)
+#: Powers of the multiplier up to the 2^16th, and powers of that.
+_LOW = np.multiply.accumulate(np.concatenate(([_U(1)], np.full((1 << 16) - 1, _ODD, _U))))
+_HIGH = np.multiply.accumulate(np.concatenate(([_U(1)], np.repeat(_LOW[-1:] * _ODD, (1 << 16) - 1))))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _pow
-    if len(_pow) < n:
-        m = max(n, 2 * len(_pow), 256)
-        _pow = np.multiply.accumulate(np.concatenate(([_U(1)], np.full(m - 1, _ODD, _U))))
-    return _pow
+def _power(n: np.ndarray) -> np.ndarray:
+    """The n-th powers of the multiplier, for n below 2^32."""
+    found = _LOW[n & 0xFFFF]
+    big = n > 0xFFFF
+    if big.any():
+        found[big] *= _HIGH[n[big] >> 16]
+    return found
 
 
 def shingles(h: np.ndarray, size: int) -> np.ndarray:

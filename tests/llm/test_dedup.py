@@ -47,6 +47,29 @@ def test_removal_of_made_texts(spark):
     assert got == [(i, *x) for i, x in enumerate(brute.removal(texts))]
 
 
+def test_long_runs_are_cut(spark, monkeypatch):
+    """Texts of one repeated phrase, of long lines with one beginning, and of parts that overlap the borders of segments."""
+    rng = random.Random(6)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 64)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
+    tail = "".join(rng.choice("abcdefgh") for _ in range(3000))
+    texts = ["ab" * 1500, "abc" * 900 + tail, "x" + "ab" * 700, tail[500:1900] + "!", "y" * 2500, "".join(f"the same beginning of each line {rng.random()}\n" for _ in range(60)), "z" + tail[:1100]]
+    for t in texts:
+        ((_, _, (_, start, size, _, _)),) = suffix_dedup._segments(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 200)
+        assert size.max() <= 64 and sorted(np.concatenate([np.arange(a, a + n) for a, n in zip(start, size)]).tolist()) == list(range(len(t) - 199))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = [(i, *x) for i, x in enumerate(brute.removal(texts))]
+    for how in ({}, {"hot": 2, "block": 2000}):
+        assert sorted(map(tuple, suffix_dedup.removal_report(docs, **how).collect())) == want
+
+
+def test_twenty_megabytes_of_one_phrase(spark):
+    text = "pad " * 5_000_000
+    got = {r["doc_id"]: r for r in suffix_dedup.removal_report(spark.createDataFrame([(1, text), (2, "another text, " + "pad " * 60), (3, "short")], "doc_id bigint, text string")).collect()}
+    assert got[1]["n_removed"] == len(text) and got[1]["n_spans"] == 1 and got[3]["n_removed"] == 0
+    assert got[2]["n_removed"] == 241 and got[2]["n_bytes"] == 254
+
+
 def test_kept_bytes_and_clashing_columns(clashing, odd_rows):
     out = suffix_dedup.without_repeats(clashing)
     assert sorted(out.columns) == sorted(clashing.columns)
