@@ -1,20 +1,27 @@
 """Language-model scores of documents, with n-gram counts in a log-frequency Bloom filter.
 
-Counts are learnt and looked up by blocks of documents (about ``BLOCK`` bytes of
-text, dealt by a hash of the document).  A block sends each distinct token and
-bigram once, as sorted hashes with their counts in training texts; they go to
-shards, which divide the range of the hashes; a shard makes totals, and sends
-each block its answers in the order in which the block asked.  So nothing that
-grows with the vocabulary is broadcast, a token as common as "the" costs one
-entry for each block, and there are as many shards as the input needs, each of
-about two blocks' entries.
-
-Unigram totals are exact.  All bigrams of training texts, however rare, are in
-the filter, which has a part in each shard: a bigram of quantised count q is
-stored as (bigram, 1) to (bigram, q), and reading it back probes 1, 2, ... until
-the first miss.  The score of a word after another is
-
-    (count of both + MU * unigram probability) / (count of the first + MU)
+Texts are read once and become blocks (about ``BLOCK`` bytes of text each),
+which are written: a block holds its distinct n-grams in the order in which
+they first occur, each by the two shorter ones it is made of, and for each
+document which of the longest ones it has and how often.  Consecutive words of
+a text mostly have consecutive numbers, so this is small beside the text.
+
+Counts are learnt and looked up by shards, which divide the range of the
+hashes.  A block sends each distinct n-gram once, as sorted hashes with their
+counts in training texts; a shard makes totals, and sends each block its
+answers in the order in which the block asked.  So texts are not shuffled,
+nothing that grows with the vocabulary is broadcast, a token as common as "the"
+costs one entry for each block, and there are as many shards as the blocks need,
+each of about two blocks' entries.
+
+Unigram totals are exact.  All longer n-grams of training texts, however rare,
+are in the filter, which has a part in each shard: one of quantised count q is
+stored as (n-gram, 1) to (n-gram, q), and reading it back probes 1, 2, ... until
+the first miss.  The score of a word after others is
+
+    (count of all + MU * score after one word less) / (count of those before + MU)
+
+down to the exact unigram probability of the word.
 
 Defined cases: null text is empty and holds the end token alone; a null id is
 held out; with nothing to learn from, each token has probability 1.
@@ -27,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +43,15 @@ from kolumna.llm.work import modest, saved
 
 #: Bytes of text in a block, and blocks to a shard.
 BLOCK, TOGETHER = 8 << 20, 2
-#: Bits of the hashes of tokens and bigrams on their way.
-TOKEN_BITS, PAIR_BITS = 64, 48
-#: Steps of the quantised counts to a doubling, and weight of the unigram estimate.
+#: Bits of the hashes of tokens and of longer n-grams on their way.
+TOKEN_BITS, GRAM_BITS = 64, 48
+#: Steps of the quantised counts to a doubling, and weight of the estimate after one word less.
 STEPS, MU = 2, 50.0
 #: Probes for one entry, and bits for each.
 PROBES, BITS = 8, 12
 
 _U = np.uint64
+_ODD = _U(0x9E3779B97F4A7C15)
 #: Hashes of the token that ends each text and of the place before its first word.
 END, BEGIN = textblocks.mix(np.array([0xE0D, 0xB0], _U))
 
@@ -94,8 +103,102 @@ def _middle(level: np.ndarray, unit: float = 1) -> np.ndarray:
     return np.where(level > 0, unit * 2.0 ** ((level - 0.5) / STEPS), 0.0)
 
 
-def _trained(batch) -> np.ndarray:
-    return textblocks.column(batch, "train").to_numpy(zero_copy_only=False)
+def _after(before: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of all but their last token, and of that."""
+    return textblocks.mix(textblocks.mix(before) * _ODD + token) >> _U(64 - GRAM_BITS)
+
+
+def _bits(n: int) -> int:
+    return TOKEN_BITS if n == 1 else GRAM_BITS
+
+
+def _tokens(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token of some texts (words and, last in each text, the end): its text and its hash."""
+    words = textblocks.Words(buf, offsets)
+    n = len(offsets) - 1
+    text = np.concatenate([words.text_of, np.arange(n)])
+    by = np.argsort(text, kind="stable")
+    return text[by], np.concatenate([words.hash, np.full(n, END)])[by]
+
+
+def _numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct key first occurs, in order, and of each key its number in that order."""
+    _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    by = np.argsort(first)
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    return first[by], rank[number]
+
+
+def _zigzag(x: np.ndarray) -> np.ndarray:
+    return np.where(x < 0, -2 * x - 1, 2 * x)
+
+
+def _unzigzag(x: np.ndarray) -> np.ndarray:
+    return np.where(x & 1, -(x + 1) // 2, x // 2)
+
+
+class Block:
+    """The n-grams of some texts.  Gram k of length n is gram ``low[n][k]`` of length n - 1, with one word more before it, and
+    comes after gram ``context[n][k]`` (-1: a text's beginning).  Entry e: a text has gram ``gram[e]`` of the greatest length ``times[e]`` times."""
+
+    def __init__(self, hashes: np.ndarray, low: dict[int, np.ndarray], context: dict[int, np.ndarray], distinct: np.ndarray, gram: np.ndarray, times: np.ndarray):
+        self.hash, self.low, self.context = {1: hashes}, low, context
+        self.distinct, self.gram, self.times = distinct, gram, times
+        self.text = np.repeat(np.arange(len(distinct)), distinct)
+        self.token = {1: np.arange(len(hashes))}
+        for n in low:
+            before = np.where(context[n] >= 0, self.hash[n - 1][context[n]] if len(self.hash[n - 1]) else _U(0), BEGIN)
+            self.token[n] = self.token[n - 1][low[n]]
+            self.hash[n] = _after(before, hashes[self.token[n]])
+        self.order = max(self.hash)
+
+    @classmethod
+    def of(cls, buf: np.ndarray, offsets: np.ndarray, order: int) -> Block:
+        text, token = _tokens(buf, offsets)
+        begins = np.diff(text, prepend=-1) > 0
+        first, number = _numbered(token)
+        hashes, key = token[first], token
+        low, context = {}, {}
+        for n in range(2, order + 1):
+            before = np.concatenate([key[:1], key[:-1]])
+            before[begins] = BEGIN
+            key = _after(before, token)
+            shorter, (first, number) = number, _numbered(key)
+            low[n] = shorter[first]
+            context[n] = np.where(begins[first], -1, shorter[first - 1])
+        width = max(1, len(first))
+        pair, times = np.unique(text * width + number, return_counts=True)
+        return cls(hashes, low, context, np.bincount(pair // width, minlength=len(offsets) - 1), pair % width, times)
+
+    def packed(self) -> tuple[bytes, list[bytes], bytes, bytes, bytes]:
+        chains = []
+        for n in self.low:
+            low = self.low[n]
+            chains += [textblocks.squeezed(low if n == 2 else _zigzag(np.diff(low, prepend=-1) - 1)), textblocks.squeezed((self.context[n] + 1) ^ (np.concatenate([[-1], low[:-1]]) + 1))]
+        step = np.diff(self.gram, prepend=-1) - 1
+        first = np.flatnonzero(np.diff(self.text, prepend=-1))
+        step[first] = self.gram[first]
+        return self.hash[1].tobytes(), chains, *map(textblocks.squeezed, (self.distinct, step, self.times - 1))
+
+    @classmethod
+    def unpacked(cls, hashes: bytes, chains: list[bytes], distinct: bytes, step: bytes, times: bytes) -> Block:
+        low, context = {}, {}
+        for k in range(0, len(chains), 2):
+            n, x = 2 + k // 2, textblocks.unsqueezed(chains[k])
+            low[n] = x if n == 2 else np.cumsum(_unzigzag(x) + 1) - 1
+            context[n] = (textblocks.unsqueezed(chains[k + 1]) ^ (np.concatenate([[-1], low[n][:-1]]) + 1)) - 1
+        distinct, step = textblocks.unsqueezed(distinct), textblocks.unsqueezed(step)
+        gram = np.cumsum(step + 1)
+        gram -= np.repeat(np.concatenate([[0], gram])[np.cumsum(distinct) - distinct], distinct) + 1
+        return cls(np.frombuffer(hashes, _U), low, context, distinct, gram, textblocks.unsqueezed(times) + 1)
+
+    def counts(self, weight: np.ndarray) -> dict[int, np.ndarray]:
+        """How often each gram occurs in the texts, which count ``weight`` times."""
+        found = {self.order: np.bincount(self.gram, self.times * weight[self.text], minlength=len(self.hash[self.order])).astype(np.int64)}
+        for n in range(self.order, 1, -1):
+            found[n - 1] = np.bincount(self.low[n], found[n], minlength=len(self.hash[n - 1])).astype(np.int64)
+        return found
 
 
 def _starts(shards: int, bits: int) -> np.ndarray:
@@ -103,92 +206,113 @@ def _starts(shards: int, bits: int) -> np.ndarray:
     return np.array([-(-(k << bits) // shards) for k in range(shards)], _U)
 
 
-def _keys(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each token (words and, last in each text, the end): its text, its hash, that of it and the one before, and whether it is the first."""
-    buf, offsets = textblocks.raw(textblocks.column(docs, "text"))
-    texts, tokens = [np.zeros(0, np.int64)], [np.zeros(0, _U)]
-    for i, j in textblocks.blocks(offsets):
-        words = textblocks.Words(buf, offsets[i : j + 1])
-        text = np.concatenate([words.text_of, np.arange(j - i)])
-        by = np.argsort(text, kind="stable")
-        texts.append(text[by] + i)
-        tokens.append(np.concatenate([words.hash, np.full(j - i, END)])[by])
-    text, token = np.concatenate(texts), np.concatenate(tokens)
-    first = np.ones(len(text), bool)
-    first[1:] = text[1:] != text[:-1]
-    before = np.concatenate([token[:1], token[:-1]])
-    before[first] = BEGIN
-    return text, token, textblocks.mix(textblocks.mix(before) * _U(0x9E3779B97F4A7C15) + token) >> _U(64 - PAIR_BITS), first
+_PACKED = "hashes binary, chains array<binary>, `distinct` binary, step binary, times binary"
+
+
+def _blocks(order: int, block: int):
+    """Documents (doc_id, text, train) to blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, number = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            buf, offsets = textblocks.raw(textblocks.column(batch, "text"))
+            for i, j in textblocks.blocks(offsets, block):
+                hashes, chains, *rest = Block.of(buf, offsets[i : j + 1], order).packed()
+                lists = [pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), textblocks.column(batch, c).slice(i, j - i)) for c in ("doc_id", "train")]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([place + number]), *lists, pa.array([hashes], pa.binary()), pa.array([chains], pa.list_(pa.binary())), *(pa.array([x], pa.binary()) for x in rest)],
+                    ["block", "doc_id", "train", "hashes", "chains", "distinct", "step", "times"],
+                )
+                number += 1
+
+    return run
+
+
+def _opened(table: pa.Table | pa.RecordBatch, k: int) -> tuple[Block, np.ndarray]:
+    """Block k of a table of blocks, and whether each of its texts is learnt from."""
+    one = lambda c: textblocks.column(table, c)[k].as_py()
+    return Block.unpacked(one("hashes"), one("chains"), one("distinct"), one("step"), one("times")), np.array(one("train"), bool)
 
 
 def _asked(shards: int):
-    """A block's documents to its distinct tokens and bigrams, by shard, with their counts in training texts."""
-
-    def run(docs: pa.Table) -> pa.Table:
-        text, token, pair, _ = _keys(docs)
-        train = _trained(docs)[text].astype(np.int64)
-        cols: list[list[bytes]] = []
-        for key, bits in ((token, TOKEN_BITS), (pair, PAIR_BITS)):
-            key, at = np.unique(key, return_inverse=True)
-            n = np.bincount(at, train, minlength=len(key)).astype(_U)
-            starts = _starts(shards, bits)
-            cut = [*np.searchsorted(key, starts).tolist(), len(key)]
-            parts = list(zip(cut, cut[1:], starts))
-            cols += [[textblocks.packed(np.diff(key[a:b], prepend=start)) for a, b, start in parts], [textblocks.packed(n[a:b]) for a, b, _ in parts]]
-        at = [k for k in range(shards) if len(cols[0][k]) > 1 or len(cols[2][k]) > 1]
-        block = textblocks.column(docs, "block")[0].as_py()
-        return pa.Table.from_arrays([pa.array(at, pa.int64()), pa.array([block] * len(at), pa.int64()), *(pa.array([c[k] for k in at], pa.binary()) for c in cols)], names=["shard", "block", "tokens", "token_n", "pairs", "pair_n"])
+    """Blocks to their distinct n-grams, by shard, with their counts in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                block, train = _opened(batch, k)
+                counts = block.counts(train.astype(float))
+                keys: list[list[bytes]] = [[] for _ in range(shards)]
+                numbers: list[list[bytes]] = [[] for _ in range(shards)]
+                for n, key in block.hash.items():
+                    by = np.argsort(key)
+                    key, count, starts = key[by], counts[n][by], _starts(shards, _bits(n))
+                    cut = [*np.searchsorted(key, starts).tolist(), len(key)]
+                    for s, (a, b) in enumerate(zip(cut, cut[1:])):
+                        keys[s].append(textblocks.packed(np.diff(key[a:b], prepend=starts[s])))
+                        numbers[s].append(textblocks.squeezed(count[a:b]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(shards)), pa.array([textblocks.column(batch, "block")[k].as_py()] * shards, pa.int64()), pa.array(keys, pa.list_(pa.binary())), pa.array(numbers, pa.list_(pa.binary()))],
+                    ["shard", "block", "keys", "counts"],
+                )
 
     return run
 
 
 def _answered(shards: int):
-    """What blocks ask of a shard to each block's answers: totals of its tokens, levels of its bigrams; and, in one row, the shard's sums."""
-
-    def totals(keys: list[bytes], counts: list[bytes], start: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-        each = [np.cumsum(textblocks.unpacked(k)) + start for k in keys]
-        key, at = np.unique(np.concatenate(each), return_inverse=True)
-        n = np.bincount(at, np.concatenate([textblocks.unpacked(c) for c in counts]), minlength=len(key)).astype(np.int64)
-        return key, n, at, np.cumsum([0, *map(len, each)]).tolist()
+    """What blocks ask of a shard to each block's answers: totals of its tokens, levels of its longer n-grams; and, in one row, the shard's sums."""
 
     def run(asked: pa.Table) -> pa.Table:
         shard = textblocks.column(asked, "shard")[0].as_py()
-        tokens, token_n, pairs, pair_n = (textblocks.column(asked, c).to_pylist() for c in ("tokens", "token_n", "pairs", "pair_n"))
-        _, n, at, cut = totals(tokens, token_n, _starts(shards, TOKEN_BITS)[shard])
-        answers = [textblocks.packed(n[at[a:b]].astype(_U)) for a, b in zip(cut, cut[1:])]
-        key, m, at, cut = totals(pairs, pair_n, _starts(shards, PAIR_BITS)[shard])
-        filter_ = LogFrequencyFilter(key[m > 0], m[m > 0], 1)
-        level = filter_.levels(key)
-        levels = [textblocks.packed(level[at[a:b]].astype(_U)) for a, b in zip(cut, cut[1:])]
+        keys, counts = (textblocks.column(asked, c).to_pylist() for c in ("keys", "counts"))
+        answers: list[list[bytes]] = [[] for _ in keys]
+        total = seen = 0
+        for n in range(1, len(keys[0]) + 1):
+            start = _starts(shards, _bits(n))[shard]
+            each = [np.cumsum(textblocks.unpacked(k[n - 1])) + start for k in keys]
+            key, at = np.unique(np.concatenate(each), return_inverse=True)
+            found = np.bincount(at, np.concatenate([textblocks.unsqueezed(c[n - 1]) for c in counts]), minlength=len(key)).astype(np.int64)
+            if n == 1:
+                total, seen = int(found.sum()), int((found > 0).sum())
+            else:
+                found = LogFrequencyFilter(key[found > 0], found[found > 0], 1).levels(key)
+            cut = np.cumsum([0, *map(len, each)]).tolist()
+            for out, a, b in zip(answers, cut, cut[1:]):
+                out.append(textblocks.squeezed(found[at[a:b]]))
         rest = [0] * (len(answers) - 1)
         return pa.Table.from_arrays(
-            [textblocks.column(asked, "block"), textblocks.column(asked, "shard"), pa.array(answers, pa.binary()), pa.array(levels, pa.binary()), pa.array([int(n.sum()), *rest], pa.int64()), pa.array([int((n > 0).sum()), *rest], pa.int64())],
-            names=["block", "shard", "token_n", "levels", "total", "seen"],
+            [textblocks.column(asked, "block"), textblocks.column(asked, "shard"), pa.array(answers, pa.list_(pa.binary())), pa.array([total, *rest], pa.int64()), pa.array([seen, *rest], pa.int64())],
+            names=["block", "shard", "answers", "total", "seen"],
         )
 
     return run
 
 
 def _score(total: int, distinct: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        text, token, pair, begins = _keys(docs)
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        block, train = _opened(blocks, 0)
         by = np.argsort(textblocks.column(answers, "shard").to_numpy())
-        token_n, levels = ([c[k] for k in by] for c in (textblocks.column(answers, x).to_pylist() for x in ("token_n", "levels")))
-        distinct_tokens, at = np.unique(token, return_inverse=True)
-        n = np.concatenate([np.zeros(0, _U), *map(textblocks.unpacked, token_n)]).astype(np.int64)
-        c = n[at]
-        unigram = (c + 0.1) / (total + 0.1 * (distinct + 1))
-        # A word of training texts is followed by one as often as it occurs; their beginnings are as many as their ends.
-        first = np.concatenate([c[:1], c[:-1]])
-        first[begins] = n[np.searchsorted(distinct_tokens, END)] if len(n) else 0
-        _, at = np.unique(pair, return_inverse=True)
-        both = _middle(np.concatenate([np.zeros(0, _U), *map(textblocks.unpacked, levels)]).astype(np.int64))[at]
-        probability = (both + MU * unigram) / (np.maximum(first, both) + MU)
-        rows = len(docs)
+        told = textblocks.column(answers, "answers").to_pylist()
+        found = {}
+        for n, key in block.hash.items():
+            held = np.concatenate([np.zeros(0, np.int64), *(textblocks.unsqueezed(told[k][n - 1]) for k in by)])
+            found[n] = np.empty(len(key), held.dtype)
+            found[n][np.argsort(key)] = held
+            if n > 1:
+                found[n] = _middle(found[n])
+        unigram = (found[1] + 0.1) / (total + 0.1 * (distinct + 1))
+        # Beginnings of training texts are as many as their ends.
+        ends = np.append(found[1][block.hash[1] == END], 0)[0]
+        probability = unigram
+        for n in range(2, block.order + 1):
+            before = np.where(block.context[n] >= 0, found[n - 1][block.context[n]], ends)
+            probability = (found[n] + MU * probability[block.low[n]]) / (np.maximum(before, found[n]) + MU)
+        token, rows = block.token[block.order][block.gram], len(train)
+        per = lambda values: np.bincount(block.text, values * block.times, minlength=rows)
         return pa.Table.from_arrays(
             [
-                textblocks.column(docs, "doc_id"), pa.array(~_trained(docs)) if rows else pa.array([], pa.bool_()), pa.array(np.bincount(text, minlength=rows), pa.int64()), pa.array(np.bincount(text, c > 0, minlength=rows).astype(np.int64)),
-                pa.array(np.full(rows, total), pa.int64()), pa.array(np.bincount(text, np.log10(unigram), minlength=rows)), pa.array(np.bincount(text, np.log10(probability), minlength=rows)),
+                textblocks.column(blocks, "doc_id").flatten(), pa.array(~train), pa.array(per(1).astype(np.int64)), pa.array(per((found[1] > 0)[token]).astype(np.int64)),
+                pa.array(np.full(rows, total), pa.int64()), pa.array(per(np.log10(unigram)[token])), pa.array(per(np.log10(probability)[block.gram])),
             ],
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
@@ -196,22 +320,23 @@ def _score(total: int, distinct: int):
     return run
 
 
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, block: int = BLOCK) -> DataFrame:
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, block: int = BLOCK, order: int = 2) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
-    Learns from the documents of which crc32(id as text) mod ``folds`` is not 0."""
+    Learns from the documents of which crc32(id as text) mod ``folds`` is not 0. ``order``: tokens of the longest n-grams."""
     kind = docs.schema[doc_id].dataType.simpleString()
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    size = docs.agg(F.sum(F.octet_length(whole).cast("long"))).first()[0] or 0
-    n = max(1, math.ceil(size / block))
     train = F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds != 0, F.lit(False))
-    rows = modest(docs).select(F.col(doc_id).alias("doc_id"), whole.alias("text"), train.alias("train")).withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n)).cast("long"))
+    rows = modest(docs).select(F.col(doc_id).alias("doc_id"), whole.alias("text"), train.alias("train"))
+    blocks = saved(rows.mapInArrow(_blocks(order, block), f"block bigint, doc_id array<{kind}>, train array<boolean>, {_PACKED}"), "blocks")
 
     # All sides are dealt to as many partitions as there are blocks or shards, so a task's share does not grow with the input.
+    n = max(1, blocks.count())
     shards = max(1, math.ceil(n / TOGETHER))
-    asked = rows.select("block", "text", "train").repartition(n, "block").groupBy("block").applyInArrow(_asked(shards), "shard bigint, block bigint, tokens binary, token_n binary, pairs binary, pair_n binary")
-    answers = saved(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_answered(shards), "block bigint, shard bigint, token_n binary, levels binary, total bigint, seen bigint"), "answers")
+    asked = blocks.mapInArrow(_asked(shards), "shard bigint, block bigint, keys array<binary>, counts array<binary>")
+    answers = saved(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_answered(shards), "block bigint, shard bigint, answers array<binary>, total bigint, seen bigint"), "answers")
     total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
 
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return rows.repartition(n, "block").groupBy("block").cogroup(answers.select("block", "shard", "token_n", "levels").repartition(n, "block").groupBy("block")).applyInArrow(_score(total, distinct), out)
+    held, told = blocks.repartition(n, "block").groupBy("block"), answers.select("block", "shard", "answers").repartition(n, "block").groupBy("block")
+    return held.cogroup(told).applyInArrow(_score(total, distinct), out)
