@@ -77,7 +77,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kolumna.llm.lm_score import scores
 
-    return scores(table(spark, sf_dir, "documents"))
+    return scores(table(spark, sf_dir, "documents"), order=3)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -38,6 +38,44 @@ def lm_base(rows, folds=10):
     return out
 
 
+def lm_score(rows, order, mu, steps, folds=10):
+    """Scores of each row by counts of all n-grams of training texts; those of longer ones than a token are quantised."""
+    import math
+    import zlib
+
+    train = lambda i: i is not None and zlib.crc32(str(i).encode()) % folds != 0
+    tokens = lambda t: [*(t or "").encode().lower().split(), None]
+    texts = sum(train(i) for i, _ in rows)
+    # A gram that would begin before its text is the shorter one from the beginning on, told apart from the same words elsewhere.
+    read = lambda g, k: 0.0 if not k else float(k) if len(g) == 1 else 2 ** ((1 + math.floor(steps * math.log2(k)) - 0.5) / steps)
+    exact = {n: Counter() for n in range(1, order + 1)}
+    for i, t in rows:
+        if train(i):
+            w = tokens(t)
+            for at in range(len(w)):
+                for n in exact:
+                    exact[n][(at < n - 1, *w[max(0, at - n + 1) : at + 1])] += 1
+    total, distinct = sum(exact[1].values()), len(exact[1])
+    out = []
+    for _, t in rows:
+        w, score = tokens(t), 0.0
+        for at in range(len(w)):
+            p = (exact[1][(False, w[at])] + 0.1) / (total + 0.1 * (distinct + 1))
+            for n in range(2, order + 1):
+                # from the beginning on, a gram of length n is what a shorter one after the beginning makes
+                mine = read((0,) * n, exact[n][(at < n - 1, *w[max(0, at - n + 1) : at + 1])])
+                if at == 0:
+                    before = float(texts)
+                else:
+                    m = n - 1
+                    held = exact[m][(at - 1 < m - 1, *w[max(0, at - m) : at])]
+                    before = float(held) if m == 1 else read((0,) * m, held)
+                p = (mine + mu * p) / (max(before, mine) + mu)
+            score += math.log10(p)
+        out.append(score)
+    return out
+
+
 def shingle_set(text, size):
     words = (text or "").encode().lower().split()
     if not words:

@@ -484,6 +484,19 @@ def test_every_bigram_of_training_texts_counts(spark):
         assert got[held[1]] == pytest.approx(plain(["red", "gold", None], (1, 0, 1)))
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_against_plain_counts(spark, odd_rows, order):
+    rng = random.Random(12)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 30)))) for i in range(150)] + [(i + 1000 if i is not None else None, t) for i, t, *_ in odd_rows]
+    docs += [(200, "twice seen words of a text"), (201, "twice seen words of a text")]
+    want = sorted(zip((i for i, _ in docs), brute.lm_score(docs, order, lm_score.MU, lm_score.STEPS)), key=key)
+    for block in (lm_score.BLOCK, 500):
+        got = sorted(((r["doc_id"], r["score"]) for r in lm_score.scores(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), block=block, order=order).collect()), key=key)
+        off = [abs(a[1] - b[1]) for a, b in zip(got, want, strict=True)]
+        # A Bloom filter takes some n-grams that it never saw for seen ones.
+        assert np.mean(np.array(off) < 1e-6) > 0.9 and max(off) < 5
+
+
 def test_filter_reads_back_counts():
     rng = np.random.default_rng(4)
     keys, counts = rng.integers(-(2**62), 2**62, 5000), rng.integers(7, 100_000, 5000)
