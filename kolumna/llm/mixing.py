@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kolumna.llm.work import saved, width
+from kolumna.llm.work import forget, saved, width
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -62,6 +62,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     place = (F.col("start") + F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1) % len(weights)
     base = dealt.join(F.broadcast(starts), "part").withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place.cast("int") + 1).cast("long"))
     base = saved(base.select("source", "source_size", "weight"), "sources")
+    forget(dealt)
     total = base.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     capped, heavy = 0, None
     share = None
@@ -117,7 +118,8 @@ def _ends(ranked: DataFrame) -> tuple[DataFrame, int]:
         past = F.sum("words").over(Window.partitionBy("__s").orderBy("bin"))
         run = bins.withColumn("before", past - F.col("words")).where("before < left")
         cut = run.groupBy("__s").agg(F.max(F.struct("bin", (F.col("left") - F.col("before")).alias("left"), "n")).alias("c"))
-        now = saved(cut.select("__s", F.col("c.left").alias("left"), F.col("c.bin").alias("__cut"), F.col("c.n").alias("n")), "cuts")
+        last, now = now, saved(cut.select("__s", F.col("c.left").alias("left"), F.col("c.bin").alias("__cut"), F.col("c.n").alias("n")), "cuts")
+        forget(last)
         if shift < BIN_BITS or (now.agg(F.max("n")).first()[0] or 0) <= EDGE:
             break
     # Only that bin is put in order: a document gets the copy if that brings the sum nearer to what is lacking, so one key parts those that do.
@@ -127,7 +129,9 @@ def _ends(ranked: DataFrame) -> tuple[DataFrame, int]:
     edge = inside.select("__s", "__cut", F.struct("__rank", "__id", "__size").alias("key"), (before + F.col("__size") / 2.0 <= F.col("left")).alias("in"))
     keys = edge.groupBy("__s", "__cut", "key").agg(F.count("*").alias("n"), F.count_if("in").alias("taken"))
     ends = keys.groupBy("__s", "__cut").agg(F.max(F.when(F.col("taken") > 0, F.struct("key", "n", "taken"))).alias("e"))
-    return saved(ends.select("__s", "__cut", F.col("e.key").alias("__key"), F.col("e.n").alias("__alike"), F.col("e.taken").alias("__taken")), "ends"), shift
+    found = saved(ends.select("__s", "__cut", F.col("e.key").alias("__key"), F.col("e.n").alias("__alike"), F.col("e.taken").alias("__taken")), "ends")
+    forget(now)
+    return found, shift
 
 
 def _sized(docs: DataFrame, keep: list[str], doc_id: str, text: str, source: str, affinity: Column | None) -> DataFrame:
@@ -146,11 +150,12 @@ def _allotted(rows: DataFrame, narrow: DataFrame, weights: tuple[int, ...] = WEI
     goals = saved(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap), "targets")
     wanted = classes.join(goals.select(F.col("source").alias("__s"), "target"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     known = rates(wanted, cap).select(F.col("source").alias("__r"), F.col("rate").alias("__rate"))
-    goals = saved(goals.join(known, F.col("source").eqNullSafe(F.col("__r")), "left").select(F.col("source").alias("__s"), "source_size", "target", "__rate"), "rates")
-    ends, shift = _ends(_ranked(narrow, goals, cap, seed))
+    aims = saved(goals.join(known, F.col("source").eqNullSafe(F.col("__r")), "left").select(F.col("source").alias("__s"), "source_size", "target", "__rate"), "rates")
+    forget(classes, goals)
+    ends, shift = _ends(_ranked(narrow, aims, cap, seed))
     ends = ends.withColumnRenamed("__s", "__e")
 
-    placed = _ranked(rows, goals, cap, seed).join(ends, F.col("__source").eqNullSafe(F.col("__e")), "left").drop("__e")
+    placed = _ranked(rows, aims, cap, seed).join(ends, F.col("__source").eqNullSafe(F.col("__e")), "left").drop("__e")
     mine, bin_ = F.struct("__rank", "__id", "__size"), F.shiftright("__place", shift)
     extra = (bin_ < F.col("__cut")) | ((bin_ == F.col("__cut")) & (mine <= F.col("__key")))
     placed = placed.withColumn("__extra", F.coalesce(extra.cast("long"), F.lit(0).cast("long")))
@@ -181,5 +186,6 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     rows = _sized(docs.withColumnsRenamed(clash), [named(c) for c in keep], named(doc_id), named(text), named(source), affinity)
     narrow = saved(_sized(docs, [], doc_id, text, source, affinity), "sizes")
     found = _allotted(rows, narrow, **how)
+    forget(narrow)
     found = found.where("__copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
     return found.select(*(F.col(named(c)).alias(c) for c in keep), "copy")

@@ -254,7 +254,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         differ = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
         return pairs.join(right, "b").join(left, "a").where((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (differ <= most)).select("a", "b").distinct()
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def links(pairs: DataFrame, also: DataFrame | None = None) -> DataFrame:
+        """The pairs that are links, and ``also``, written."""
         # Texts of documents in pairs; a hub's text goes to each chunk of its pairs, not to each pair, and no key holds all of them.
         needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
         texts = saved(rows.where("doc_id is not null").join(needed, "doc_id", "left_semi"), "texts")
@@ -264,14 +265,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         spokes = pairs.join(hubs, F.col("a") == F.col("hub"), "left").select("a", "b", chunk.alias("chunk")).join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
         centres = texts.select(F.col("doc_id").alias("a"), "text").join(chunks, "a").select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.lit(None).cast("long").alias("b"), "text")
         both = centres.unionByName(spokes.select("a", "chunk", F.lit(1).alias("side"), "b", "text"))
-        return both.repartition(width(docs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "side").mapInArrow(_confirm(shingle, percent), "a bigint, b bigint").distinct()
+        found = both.repartition(width(docs.sparkSession), "a", "chunk").sortWithinPartitions("a", "chunk", "side").mapInArrow(_confirm(shingle, percent), "a bigint, b bigint")
+        found = saved((found if also is None else found.unionByName(also)).distinct(), "links")
+        forget(texts)
+        return found
 
     buckets = members.groupBy("bucket").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
     spokes = members.join(buckets, "bucket").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     again = filled.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     same = filled.join(again, "doc_id", "left_semi").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).where("rep <> doc_id").select(F.least("rep", "doc_id").alias("a"), F.greatest("rep", "doc_id").alias("b"))
     candidates = saved(near(spokes), "pairs")
-    first = saved(links(candidates).unionByName(same).distinct(), "links")
+    first = links(candidates, same)
     forget(candidates)
     joined = saved(components(first), "components")
 
@@ -287,9 +291,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if second.isEmpty():
         final = joined
     else:
-        more = saved(links(second), "links")
-        final = joined if more.isEmpty() else saved(components(first.unionByName(more)), "components")
-    forget(second)
+        more = links(second)
+        if more.isEmpty():
+            final = joined
+        else:
+            final = saved(components(first.unionByName(more)), "components")
+            forget(joined)
+        forget(more)
+    forget(first, second)
 
     named = classes.select("set_a", "set_b", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = signs.select("doc_id", "n_shingles", "set_a", "set_b").join(named, ["set_a", "set_b"], "left")

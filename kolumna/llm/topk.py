@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kolumna.llm.work import chance, modest, saved
+from kolumna.llm.work import chance, forget, modest, saved
 
 K = 5
 #: Vectors and queries of a block.
@@ -318,7 +318,9 @@ def top_k(
     radius, norm = (np.array([float(held[c][x]) if c in held else -1.0 for c in range(len(centres))]) for x in ("far", "norm"))
     known = spark.sparkContext.broadcast((centres, radius, np.maximum(norm, 0)))
     reach = queries.join(seeds, "row", "left").select("row", "id", "v", "beat").mapInArrow(_reach(known), "row bigint, id bigint, v array<double>, beat double, cells array<int>")
-    reach = saved(reach, "reach").select("row", "id", "v", "beat", F.explode("cells").alias("cell"))
+    reach = saved(reach, "reach")
+    forget(seeds)
+    reach = reach.select("row", "id", "v", "beat", F.explode("cells").alias("cell"))
     second = told({r["cell"]: math.ceil(r["count"] / query_block) for r in reach.groupBy("cell").count().collect()})
     asked = reach.join(second, "cell").select("row", "id", "v", "beat", "cell", deal(1, F.col("groups")).alias("group"), every(F.col("parts")).alias("part"))
     found = met(asked, dealt(second), _group(k, False), "row bigint, query_id bigint, vec_id bigint, score bigint")

@@ -4,6 +4,10 @@ A table in the shared checkpoint folder survives lost executors, cuts the
 lineage and is read by every job of a run.  The folder is the session's
 ``spark.checkpoint.dir``; where that is unset (tests, local sessions) a folder
 of this process stands in.
+
+Tables that an operator's result still reads stay until the application's
+owner clears the folder, as with checkpoints of Spark itself; the others are
+removed on the way.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import tempfile
 import uuid
 import weakref
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +82,8 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     """``df``, written once to the shared folder and read back."""
     spark = df.sparkSession
     path = f"{folder(spark)}/kolumna-{tag}-{uuid.uuid4().hex}"
+    for made in _open[-1:]:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     _paths[found] = path
@@ -84,15 +91,37 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
 
 
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
-
-
-def forget(saved_: DataFrame) -> None:
-    """Remove a table that :func:`saved` wrote and that no frame still to be run reads."""
-    path = _paths.pop(saved_, None)
-    if path:
-        spark = saved_.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+#: Tables written since each :func:`settled` that is under way began.
+_open: list[list[str]] = []
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """What ``make`` gives, written and read back; the tables that were written on the way are removed."""
+    _open.append([])
+    kept = None
+    try:
+        found = saved(make(), tag)
+        kept = _paths[found]
+        return found
+    finally:
+        for path in _open.pop():
+            if path != kept:
+                _remove(spark, path)
+        if kept and _open:
+            _open[-1].append(kept)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables that :func:`saved` wrote and that no frame still to be run reads; other frames are left alone."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            _remove(table.sparkSession, path)
 
 
 def width(spark: SparkSession) -> int:
