@@ -8,7 +8,8 @@
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents, the last adds ``copy``, from 1 for each
-time a document is taken.  Between stages the rows are written as Parquet.
+time a document is taken.  Between stages the rows are written as Parquet, and
+what a stage wrote on its way is removed.
 
 Defined cases: an empty table gives an empty table; null texts are empty ones
 to every stage (and are scored, grouped and mixed as such); rows without an id
@@ -17,13 +18,14 @@ pass the near-duplicate stage, which judges by id.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kolumna.llm import decontam, mixing, near_dup, quality, secrets
-from kolumna.llm.work import saved
+from kolumna.llm.work import forget, settled
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,8 +64,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order on the table of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = saved(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        last, docs = docs, settled(spark, functools.partial(stage, spark, docs, sf_dir), name)
+        forget(last)
+    return STAGES[-1][1](spark, docs, sf_dir)
