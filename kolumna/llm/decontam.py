@@ -324,7 +324,7 @@ def _masked(raw: bytes, words: textblocks.Words, begins: int, first: int, spans:
 
 
 def _without(index, share: int | None, at: int):
-    """Documents to those that stay, with passages masked; the text is column ``at``. A last column ``__spans`` has the spans; without an index it is given and dropped."""
+    """Documents to those that stay, with passages masked; the text is column ``at``. Without an index a last column has the spans, and is dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = index and index.value
@@ -373,8 +373,10 @@ def without_passages(docs: DataFrame, items: DataFrame, text: str = "text", shar
         return string.mapInArrow(_without(indexes[0], share, at), string.schema)
     key = F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256)
     # One row for each distinct text: the spans of a text are the same wherever it occurs.
-    distinct = docs.select(F.col(text).cast("string").alias("text")).withColumn("key", key).dropDuplicates(["key"]).withColumn("doc_id", F.col("key"))
+    distinct = docs.select(F.col(text).cast("string").alias("text"), key.alias("key")).dropDuplicates(["key"]).withColumn("doc_id", F.col("key"))
     found = _contamination(distinct, indexes).where("n_hit > 0")
     found = found.select(F.col("doc_id").alias("__key"), F.flatten(F.transform("spans", lambda s: F.array(s["start"], s["end"]))).alias("__spans"))
-    joined = string.withColumn("__key", key).join(found, "__key", "left").select(*docs.columns, "__spans")
+    # The row stays together while it is joined, whatever its columns are called.
+    joined = string.select(F.struct(*(F.col(c) for c in string.columns)).alias("row"), key.alias("__key")).join(found, "__key", "left")
+    joined = joined.select(*(F.col("row").getField(c).alias(c) for c in string.columns), F.col("__spans").alias("__given"))
     return joined.mapInArrow(_without(None, share, at), string.schema)

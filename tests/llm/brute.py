@@ -205,3 +205,29 @@ def secret_digests(text):
     found = secret_base(text)
     joined = lambda which: ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted((x[which], kinds.index(x[0]), x[0], x[2]) for x in found))
     return (*(sum(x[0] == k for x in found) for k in kinds), *(hashlib.sha256(joined(w).encode()).hexdigest() for w in (1, 3)))
+
+
+def statistics(text):
+    """The quality statistics of a text, in order."""
+    import math
+
+    b = (text or "").encode()
+    size = max(len(b), 1)
+    low = bytes(c + 32 if 65 <= c <= 90 else c for c in b)
+    words, lines = low.split(), [x for x in low.split(b"\n") if x]
+    usual, odd = b".,;:!?'\"()-", b"#$%&*+/<=>@[]\\^_`{|}~"
+    kinds = [
+        lambda c: 97 <= c <= 122, lambda c: 65 <= c <= 90, lambda c: 48 <= c <= 57, lambda c: c in usual, lambda c: c in odd,
+        lambda c: c == 10, lambda c: c in b" \t", lambda c: c >= 128, lambda c: c in b"!?",
+    ]
+    out = [math.log1p(len(b)), *(sum(map(k, b)) / size for k in kinds)]
+    n = max(len(words), 1)
+    mean = sum(map(len, words)) / n
+    pairs = list(zip(words, words[1:]))
+    raw = b.split()
+    return [
+        *out, mean, math.sqrt(max(sum(len(w) ** 2 for w in words) / n - mean**2, 0)), len(set(words)) / n, sum(x == y for x, y in pairs) / n, len(set(pairs)) / max(len(words) - 1, 1),
+        len(words) / max(len(lines), 1), len(set(lines)) / max(len(lines), 1), max(Counter(words).values(), default=0) / n,
+        sum(any(c in odd for c in w) for w in raw) / n, sum(any(65 <= c <= 90 for c in w) and not any(97 <= c <= 122 or c >= 128 for c in w) for w in raw) / n, sum(any(48 <= c <= 57 for c in w) for w in raw) / n,
+        math.log1p(len(words)),
+    ]
