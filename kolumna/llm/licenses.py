@@ -1,7 +1,8 @@
 """Licence notices in texts, by Dice coefficient of word bigrams with templates.
 
-A text's units are its lines and, where they have several lines, its
-paragraphs (blank lines part them), so a notice may count as both.  Normalised, they are lower-case words of
+A text's units are its lines, where they have several lines its paragraphs
+(blank lines part them), and where a line has several sentences those, so a
+notice may count as more than one.  Normalised, they are lower-case words of
 a-z and 0-9; a unit is compared by the set of its word bigrams (one word alone
 is one gram).  With a and b grams, the coefficient 2c / (a + b) is at most
 2 min(a, b) / (a + b), so a template of b grams can reach the threshold t only
@@ -49,6 +50,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
+#: What stands between two sentences of a line, in place of full stop and space.
+END = "\x01"
 #: Grams of a template that is taken for a whole text.
 LONG = 60
 #: Words of ordinary prose, which tell little about a notice.
@@ -67,12 +70,14 @@ def grams(text: str) -> list[str]:
 
 def _gram_sets(text: Column, low: int, high: int, cues: list[str]) -> Column:
     """The grams of each unit of a text that has a cue word and may have from low to high of them: one of d distinct words has d - 1 or more."""
-    plain = F.regexp_replace(F.translate(text.cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^a-z0-9\n]+", " ")
-    lines = F.split(plain, r"\n")
+    folded = F.translate(text.cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    marked = F.split(F.regexp_replace(F.regexp_replace(folded, r"[.!?]+[ \t\r]+", END), f"[^a-z0-9\n{END}]+", " "), r"\n")
+    sentences = F.flatten(F.transform(F.filter(marked, lambda u: F.contains(u, F.lit(END))), lambda u: F.split(u, END)))
+    lines = F.transform(marked, lambda u: F.translate(u, END, " "))
+    plain = F.array_join(lines, "\n")
     paragraphs = F.transform(F.filter(F.split(plain, r"\n *\n[ \n]*"), lambda p: F.rlike(p, F.lit(r"[a-z0-9] *\n *[a-z0-9]"))), lambda p: F.translate(p, "\n", " "))
-    words = F.transform(F.concat(lines, paragraphs), lambda u: F.split(F.trim(u), " "))
+    words = F.transform(F.concat(lines, paragraphs, sentences), lambda u: F.filter(F.split(u, " "), lambda x: x != ""))
     words = F.filter(words, lambda w: F.arrays_overlap(w, F.split(F.lit(" ".join(cues)), " ")) & (F.size(w) >= low) & (F.size(F.array_distinct(w)) <= high + 1))
-    words = F.transform(words, lambda w: F.filter(w, lambda x: x != ""))
     pairs = lambda w: F.array_distinct(F.transform(F.slice(w, 1, F.size(w) - 1), lambda x, i: F.concat(x, F.lit(" "), w[i + 1])))
     return F.transform(words, lambda w: F.when(F.size(w) < 2, w).otherwise(pairs(w)))
 
@@ -128,7 +133,8 @@ def license_notices(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     cue = F.rlike(whole, F.lit(f"(?i)(?<![a-z0-9]){_any_of(cues)}(?![a-z0-9])"))
     fitting = F.filter(_gram_sets(whole, low, high, cues), lambda g: (F.size(g) >= low) & (F.size(g) <= high))
     matches = F.filter(F.transform(fitting, best), lambda x: x["dice"] >= threshold)
-    scored = docs.select(F.col(doc_id).alias("doc_id"), F.when(cue, matches).otherwise(F.filter(F.array(best(F.array(F.lit("")))), lambda x: x["dice"] > 1)).alias("found"))
+    none = F.array().cast("array<struct<dice:double,place:int>>")
+    scored = docs.select(F.col(doc_id).alias("doc_id"), F.when(cue, matches).otherwise(none).alias("found"))
     top = F.array_max("found")
     name = F.element_at(F.array(*(F.lit(n) for n, _ in known)), F.lit(1) - top["place"])
     return scored.select("doc_id", F.size("found").cast("long").alias("n_units"), F.when(F.size("found") > 0, name).alias("license"), F.coalesce(F.when(F.size("found") > 0, top["dice"]), F.lit(0.0)).alias("dice"))

@@ -108,8 +108,9 @@ def license_sql() -> str:
     values = ", ".join(f"({k}, '{name}', [{quoted(g)}], {a}, {b})" for k, ((name, g), (a, b)) in enumerate(zip(known, limits)))
     return f"""
 WITH t(k, license, g, lo, hi) AS (VALUES {values}),
-d AS (SELECT row_number() OVER () AS row, doc_id, regexp_replace({_AZ}, '[^a-z0-9\\n]+', ' ', 'g') AS p FROM documents),
-u AS (SELECT row, unnest(list_concat(string_split(p, chr(10)), list_transform(list_filter(string_split_regex(p, '\\n *\\n[ \\n]*'), lambda x: regexp_matches(x, '[a-z0-9] *\\n *[a-z0-9]')), lambda x: replace(x, chr(10), ' ')))) AS u FROM d),
+r AS (SELECT row_number() OVER () AS row, doc_id, regexp_replace(regexp_replace({_AZ}, '[.!?]+[ \\t\\r]+', chr(1), 'g'), '[^a-z0-9\\n\\x01]+', ' ', 'g') AS r FROM documents),
+d AS (SELECT row, doc_id, replace(r, chr(1), ' ') AS p, flatten(list_transform(list_filter(string_split(r, chr(10)), lambda x: contains(x, chr(1))), lambda x: string_split(x, chr(1)))) AS sentences FROM r),
+u AS (SELECT row, unnest(list_concat(string_split(p, chr(10)), sentences, list_transform(list_filter(string_split_regex(p, '\\n *\\n[ \\n]*'), lambda x: regexp_matches(x, '[a-z0-9] *\\n *[a-z0-9]')), lambda x: replace(x, chr(10), ' ')))) AS u FROM d),
 w AS (SELECT row, list_filter(string_split(u, ' '), lambda x: x <> '') AS w FROM u),
 g AS (SELECT row, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS g FROM w),
 s AS (SELECT row_number() OVER () AS unit, row, g FROM g WHERE len(g) > 0),

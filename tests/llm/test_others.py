@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -232,6 +233,9 @@ def test_licence_notices(spark, odd_docs, no_docs, clashing):
     got = {r["doc_id"]: r for r in licenses.license_notices(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
     assert [got[i]["license"] for i in range(9)] == ["CC-BY-NC-4.0", "CC-BY-NC-4.0", "MIT", None, None, None, "Apache-2.0", "GPL-3.0", None]
     assert got[0]["dice"] == 1.0 and got[0]["n_units"] == 2 and got[3]["dice"] == 0.0
+    inside = "Some words of a longer line stand before it! Released under the MIT License.  And so do others, after it; they are many and of no use."
+    got = licenses.license_notices(spark.createDataFrame([(1, inside), (2, inside.replace(". ", ", "))], "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: (r["license"], r["n_units"]) for r in got} == {1: ("MIT", 1), 2: (None, 0)}
     assert licenses.license_notices(odd_docs).count() == odd_docs.count() and licenses.license_notices(no_docs).collect() == []
     assert licenses.license_notices(clashing).count() == odd_docs.count()
 
@@ -587,10 +591,11 @@ def test_altered_notices(spark):
     got = {r["doc_id"]: r for r in licenses.license_notices(spark.createDataFrame([(k, t) for k, (_, _, t) in enumerate(made)], "doc_id bigint, text string")).collect()}
     templates = [(n, set(licenses.grams(t))) for n, t in licenses.TEMPLATES]
     for k, (name, share, text) in enumerate(made):
-        mine = set(licenses.grams(text))
-        best = max(2 * len(mine & t) / (len(mine) + len(t)) for _, t in templates)
-        assert got[k]["dice"] == pytest.approx(best if best >= licenses.THRESHOLD else 0.0)
-        assert share > 0.02 or got[k]["license"] == name
+        units = [set(licenses.grams(u)) for u in (text, *re.split(r"[.!?]+[ \t\r]+", text))]
+        best = max((2 * len(u & t) / (len(u) + len(t)), n) for u in units if u for n, t in templates)
+        assert got[k]["dice"] == pytest.approx(best[0] if best[0] >= licenses.THRESHOLD else 0.0)
+        # A sentence that BSD licences share may be nearer to its template than the whole text is to its own.
+        assert share > 0.02 or got[k]["license"] in (name, "BSD-family" if "BSD" in name else name)
 
 
 # Pipeline
