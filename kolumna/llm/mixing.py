@@ -94,14 +94,14 @@ def rates(classes: DataFrame, cap: int = CAP) -> DataFrame:
     return found.groupBy("source").agg(F.max_by("rate", "like").alias("rate"))
 
 
-def _ranked(rows: DataFrame, goals: DataFrame, cap: int, seed: str) -> DataFrame:
+def _ranked(rows: DataFrame, goals: DataFrame, cap: int) -> DataFrame:
     """``rows`` with source_size, target, __whole (certain copies) and __rank and __place of each document for one more; null if it is not to have one."""
     joined = rows.join(goals, F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
     joined = joined.withColumn("__expected", F.when(F.col("source_size") > 0, F.least(F.coalesce(F.col("__rate") * F.col("__like"), F.lit(float(cap))), F.lit(float(cap)))).otherwise(0.0))
-    u, p = unit(F.col("__id"), seed), F.col("__expected") - F.floor("__expected")
+    u, p = F.col("__u"), F.col("__expected") - F.floor("__expected")
     odds = (u * (1 - p)) / ((1 - u) * p)
     ranked = joined.withColumn("__whole", F.floor("__expected").cast("long")).withColumn("__rank", F.when((p > 0) & (F.col("__size") > 0), odds / (1 + odds)))
-    return ranked.drop("__rate", "__expected").withColumn("__place", F.floor(F.col("__rank") * float(1 << RANK_BITS)).cast("long"))
+    return ranked.drop("__u", "__rate", "__expected").withColumn("__place", F.floor(F.col("__rank") * float(1 << RANK_BITS)).cast("long"))
 
 
 def _ends(ranked: DataFrame) -> tuple[DataFrame, int]:
@@ -134,28 +134,28 @@ def _ends(ranked: DataFrame) -> tuple[DataFrame, int]:
     return found, shift
 
 
-def _sized(docs: DataFrame, keep: list[str], doc_id: str, text: str, source: str, affinity: Column | None) -> DataFrame:
-    """``keep``, __id, __source, __size and __like of each document."""
+def _sized(docs: DataFrame, keep: list[str], doc_id: str, text: str, source: str, affinity: Column | None, seed: str) -> DataFrame:
+    """``keep``, __id, __source, __size, __u and __like of each document."""
     size = words(F.col(text))
-    rows = docs.select(*keep, F.col(doc_id).alias("__id"), F.col(source).alias("__source"), size.alias("__size"), *([] if affinity is None else [F.coalesce(affinity.cast("double"), F.lit(1.0)).alias("__like")]))
+    rows = docs.select(*keep, F.col(doc_id).alias("__id"), F.col(source).alias("__source"), size.alias("__size"), unit(F.col(doc_id), seed).alias("__u"), *([] if affinity is None else [F.coalesce(affinity.cast("double"), F.lit(1.0)).alias("__like")]))
     if affinity is None:
         return rows.withColumn("__like", F.length(F.bin(F.greatest("__size", F.lit(1)))).cast("long"))
     step = F.pow(F.lit(2.0), F.floor(F.log2("__like")) - 7)
     return rows.withColumn("__like", F.when(F.col("__like") > 0, F.floor(F.col("__like") / step) * step).otherwise(0.0))
 
 
-def _allotted(rows: DataFrame, narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """``rows`` (at least __id, __source, __size, __like) with source_size, target and __copies, decided on ``narrow``, a written table of just those."""
+def _allotted(rows: DataFrame, narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """``rows`` (at least __id, __source, __size, __u, __like) with source_size, target and __copies, decided on ``narrow``, a written table of just those."""
     classes = saved(narrow.groupBy(F.col("__source").alias("source"), F.col("__like").alias("like")).agg(F.sum("__size").alias("words")), "classes")
     goals = saved(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap), "targets")
     wanted = classes.join(goals.select(F.col("source").alias("__s"), "target"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     known = rates(wanted, cap).select(F.col("source").alias("__r"), F.col("rate").alias("__rate"))
     aims = saved(goals.join(known, F.col("source").eqNullSafe(F.col("__r")), "left").select(F.col("source").alias("__s"), "source_size", "target", "__rate"), "rates")
     forget(classes, goals)
-    ends, shift = _ends(_ranked(narrow, aims, cap, seed))
+    ends, shift = _ends(_ranked(narrow, aims, cap))
     ends = ends.withColumnRenamed("__s", "__e")
 
-    placed = _ranked(rows, aims, cap, seed).join(ends, F.col("__source").eqNullSafe(F.col("__e")), "left").drop("__e")
+    placed = _ranked(rows, aims, cap).join(ends, F.col("__source").eqNullSafe(F.col("__e")), "left").drop("__e")
     mine, bin_ = F.struct("__rank", "__id", "__size"), F.shiftright("__place", shift)
     extra = (bin_ < F.col("__cut")) | ((bin_ == F.col("__cut")) & (mine <= F.col("__key")))
     placed = placed.withColumn("__extra", F.coalesce(extra.cast("long"), F.lit(0).cast("long")))
@@ -169,22 +169,22 @@ def _allotted(rows: DataFrame, narrow: DataFrame, weights: tuple[int, ...] = WEI
     return done.drop("__whole", "__rank", "__place", "__cut", "__key", "__alike", "__taken", "__extra")
 
 
-def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", affinity: Column | None = None, **how) -> DataFrame:
+def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", affinity: Column | None = None, seed: str = SEED, **how) -> DataFrame:
     """One row for each document: doc_id, size, source_size, target, taken.
 
     ``affinity``: positive; a document of twice the affinity is to have twice the copies, as far as the cap lets it."""
-    narrow = saved(_sized(docs, [], doc_id, text, source, affinity), "sizes")
+    narrow = saved(_sized(docs, [], doc_id, text, source, affinity, seed), "sizes")
     found = _allotted(narrow, narrow, **how)
     return found.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"), "source_size", "target", (F.col("__copies") * F.col("__size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", affinity: Column | None = None, **how) -> DataFrame:
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", affinity: Column | None = None, seed: str = SEED, **how) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with ``copy`` (from 1; a column of that name is replaced)."""
     keep = [c for c in docs.columns if c != "copy"]
     clash = {c: f"__doc_{c}" for c in keep if c in ("source_size", "target")}
     named = lambda c: clash.get(c, c)
-    rows = _sized(docs.withColumnsRenamed(clash), [named(c) for c in keep], named(doc_id), named(text), named(source), affinity)
-    narrow = saved(_sized(docs, [], doc_id, text, source, affinity), "sizes")
+    rows = _sized(docs.withColumnsRenamed(clash), [named(c) for c in keep], named(doc_id), named(text), named(source), affinity, seed)
+    narrow = saved(_sized(docs, [], doc_id, text, source, affinity, seed), "sizes")
     found = _allotted(rows, narrow, **how)
     forget(narrow)
     found = found.where("__copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
