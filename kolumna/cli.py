@@ -55,6 +55,7 @@ def main(arguments: list[str] | None = None) -> int:
     p.add_argument("--rows", type=int, default=4_000_000, help="rows of that table")
     p.add_argument("--load-batch", type=int, metavar="N", help="append that table N rows at a time; all at once by default")
     p.add_argument("--unlock", metavar="NAME", help="remove the lock of a table whose writer was lost")
+    p.add_argument("--compact", metavar="NAME", help="make few files of a table's many first")
     p.add_argument("--drop-table", metavar="NAME", help="drop a table first")
     p.add_argument("--silent", action="store_true", help="do not show rows")
     p.add_argument("--digest", action="store_true", help="show a digest of each result")
@@ -64,6 +65,8 @@ def main(arguments: list[str] | None = None) -> int:
     with Database(session(master), a.db, Config(a.mode, a.partitions)) as db:
         if a.unlock:
             db.unlock(a.unlock)
+        if a.compact:
+            db.compact(a.compact)
         if a.drop_table:
             db.drop_table(a.drop_table)
         if a.gen_table:

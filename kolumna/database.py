@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -92,6 +92,14 @@ class Database:
         """Bulk load: any Spark DataFrame of the table's columns and types."""
         return self.catalog.append(name, rows)
 
+    def compact(self, name: str) -> None:
+        """Make few files of a table's many."""
+        self.catalog.compact(name)
+
+    def gather(self, name: str, offsets: Sequence[int], columns: Sequence[str] | None = None) -> DataFrame:
+        """Rows of a stored table by their places."""
+        return self.catalog.gather(name, offsets, columns)
+
     def flush(self, name: str | None = None) -> None:
         self.catalog.flush(name)
 

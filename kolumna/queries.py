@@ -17,6 +17,7 @@ from kolumna.database import Config, Connection, Database
 from kolumna.errors import ConstraintError
 from kolumna.schema import Key, table_of
 from kolumna.session import shared_folder
+from kolumna.sources import bench_table
 from kolumna.sources.catalog import duplicates
 
 #: Keys of the attached tables.
@@ -212,6 +213,28 @@ def _created_anew(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db.connect().frame("SELECT a, c FROM t")
 
 
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup in a table of many batches that were made one."""
+    db = Database(spark, scratch(spark))
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    db.create_table(table_of("customer", rows.schema, _CUSTOMER))
+    for k in range(4):
+        db.append("customer", rows.where(f"c_custkey % 4 = {k}"))
+    db.flush()
+    db.catalog.compact("customer", 20_000)
+    return db.connect().frame("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey >= 40 AND c_custkey <= 60")
+
+
+def _gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by their places in a stored table of one file, which is sorted by its key."""
+    db = Database(spark, scratch(spark))
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").coalesce(1)
+    db.create_table(table_of("nation", rows.schema, (Key("__primary__", ("n_nationkey",), True),)))
+    db.append("nation", rows)
+    db.flush()
+    return db.gather("nation", [3, 0, 24, 3], ["n_name"])
+
+
 def _modes_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a grouping in each mode, and whether digests are the same in all."""
     connection = _Attached(spark, sf_dir)
@@ -256,6 +279,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _select(sq
     "stored_group": _stored("SELECT c_mktsegment, COUNT(*) AS c, MIN(c_custkey) AS k FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment"),
     "load_in_parts": _seen_in_parts,
     "create_drop_create": _created_anew,
+    "stored_compacted": _compacted,
+    "stored_gather": _gathered,
+    "generated_bench": lambda spark, sf_dir: bench_table(spark, 3000),
     "modes_agree": _modes_agree,
     "access_paths": _access_paths,
 }
@@ -272,6 +298,9 @@ ORACLE_SQL: dict[str, str] = {name: oracle or sql for name, (sql, _, oracle) in
     "stored_group": "SELECT c_mktsegment, COUNT(*) AS c, MIN(c_custkey) AS k FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment",
     "load_in_parts": "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 < 2",
     "create_drop_create": "SELECT * FROM (VALUES (CAST(-9223372036854775808 AS BIGINT), CAST(0 AS DOUBLE)), (9223372036854775807, 0)) AS t(a, c)",
+    "stored_compacted": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey >= 40 AND c_custkey <= 60",
+    "stored_gather": "SELECT k AS \"offset\", n_name FROM (VALUES (3), (0), (24), (3)) AS v(k) JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation) ON place = k",
+    "generated_bench": "SELECT i AS id, CAST(i % 1024 AS INT) AS grp, CAST(i % 65536 AS INT) AS grp_hi, CAST((i * 48271) % 1000003 AS DOUBLE) / 1000003.0::DOUBLE AS value FROM range(3000) AS r(i)",
     "modes_agree": "SELECT m AS mode, n, true AS same FROM (VALUES ('auto'), ('single'), ('multi')) AS v(m), (SELECT COUNT(DISTINCT l_orderkey) AS n FROM lineitem)",
     "access_paths": "SELECT * FROM (VALUES " + ", ".join(f"('{sql}', '{path}')" for sql, path in _ACCESS.items()) + ") AS v(statement, path)",
 }

@@ -20,8 +20,10 @@ import json
 import os
 import socket
 import uuid
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,9 @@ class Catalog:
             if stored["version"] != VERSION:
                 raise BindError(f"{self._path} has version {stored['version']}")
             self._tables = {t["name"]: Table.from_dict(t) for t in stored["tables"]}
+            for name in self._tables:
+                if not self.files.exists(f"{self._folder(name)}/_lock"):  # else its writer may be at work
+                    self._settle(name)
 
     def _store(self) -> None:
         tables = [t.as_dict() for n, t in self._tables.items() if n not in self._attached]
@@ -115,6 +120,7 @@ class Catalog:
     def unlock(self, name: str) -> None:
         """Remove the lock of a writer that is gone. What it had staged is not seen, and its batch is as if never given."""
         self.find(name)
+        self._settle(name)
         self.files.delete(f"{self._folder(name)}/_lock")
 
     def _read(self, table: Table, *folders: str) -> DataFrame:
@@ -129,6 +135,34 @@ class Catalog:
         table = self.find(name)
         return self._attached[name] if name in self._attached else self._read(table, "rows")
 
+    def gather(self, name: str, offsets: Sequence[int], columns: Sequence[str] | None = None) -> DataFrame:
+        """Flushed rows of a stored table by their places, from 0 in the order of its batches and files: a column ``offset``
+        and the columns asked for (all by default), once for each time that an offset is given.  A place that is not there is an error.
+
+        One count for each file tells where its rows begin; then only files that hold a place are read."""
+        table = self.find(name)
+        if name in self._attached:
+            raise BindError(f"table {name} is attached: its rows have no places")
+        names = tuple(columns) if columns is not None else tuple(c.name for c in table.columns)
+        for c in names:
+            table.column(c)
+        rows = self._read(table, "rows")
+        schema = "__offset bigint, __file string, __row bigint"
+        places: list[tuple[int, str, int]] = []
+        if offsets:
+            there = rows.groupBy(F.col("_metadata.file_path").alias("f")).count().orderBy("f").collect() if self.files.names(f"{self._folder(name)}/rows") else []
+            ends = list(accumulate(r["count"] for r in there))
+            for k in offsets:
+                if not 0 <= k < (ends[-1] if ends else 0):
+                    raise ConstraintError(f"{name} has no row at {k}")
+                at = bisect_right(ends, k)
+                places.append((k, there[at]["f"], k - (ends[at - 1] if at else 0)))
+        if not places:
+            return rows.limit(0).select(F.lit(0).cast("long").alias("offset"), *map(quoted, names))
+        wanted = self.spark.createDataFrame(places, schema)
+        rows = rows.where(F.col("_metadata.file_path").isin(sorted({f for _, f, _ in places}))).select(F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"), *map(quoted, names))
+        return rows.join(F.broadcast(wanted), ["__file", "__row"]).select(F.col("__offset").alias("offset"), *map(quoted, names))
+
     def append(self, name: str, rows: DataFrame) -> int:
         """Add a batch, unseen until :meth:`flush`. Returns its number of rows."""
         table = self.find(name)
@@ -139,11 +173,7 @@ class Catalog:
         with self._writing(name):
             staged = f"{self._folder(name)}/_staged_{uuid.uuid4().hex}"
             try:
-                writer = rows.sortWithinPartitions(*map(quoted, table.primary.columns)) if table.primary else rows
-                writer = writer.write
-                for c in {c for k in table.keys for c in k.columns}:
-                    writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-                writer.parquet(staged)
+                self._write(table, rows, staged)
                 batch = self.spark.read.schema(table.struct).parquet(staged)
                 count = self._check(table, batch)
                 self.files.make(f"{self._folder(name)}/pending")
@@ -154,6 +184,48 @@ class Catalog:
                 raise
         return count
 
+    def _write(self, table: Table, rows: DataFrame, path: str) -> None:
+        """Parquet files, each sorted by the primary key, with Bloom filters on all key columns."""
+        writer = rows.sortWithinPartitions(*map(quoted, table.primary.columns)) if table.primary else rows
+        writer = writer.write
+        for c in {c for k in table.keys for c in k.columns}:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(path)
+
+    def compact(self, name: str, file_bytes: int = 256 << 20) -> None:
+        """Write the flushed rows of a table anew, in files of about ``file_bytes``, each with a range of the primary key.
+
+        Inserts leave a folder of files each; this makes few of many, and lookups by the primary key read one of them.
+        The new files are complete before the old ones are set aside; what a crash leaves is put right when
+        the lock is removed, or, without one, when the catalog is opened."""
+        table = self.find(name)
+        with self._writing(name):
+            self._settle(name)
+            folder = self._folder(name)
+            if not self.files.names(f"{folder}/rows"):
+                return
+            n = max(1, -(-self.files.size(f"{folder}/rows") // file_bytes))
+            rows = self._read(table, "rows")
+            rows = rows.repartitionByRange(n, *map(quoted, table.primary.columns)) if table.primary and n > 1 else rows.coalesce(n)
+            staged = f"{folder}/_staged_{uuid.uuid4().hex}"
+            self._write(table, rows, f"{staged}/batch-000000-{uuid.uuid4().hex[:8]}")
+            self.files.rename(staged, f"{folder}/_merged")
+            self.files.rename(f"{folder}/rows", f"{folder}/_before")
+            self._settle(name)
+
+    def _settle(self, name: str) -> None:
+        """Finish a compaction, or undo it, by the folders that are there."""
+        folder = self._folder(name)
+        there = [x for x in ("rows", "_before", "_merged") if self.files.exists(f"{folder}/{x}")]
+        if "rows" not in there and "_merged" in there:
+            self.files.rename(f"{folder}/_merged", f"{folder}/rows")
+        elif "rows" not in there and "_before" in there:
+            self.files.rename(f"{folder}/_before", f"{folder}/rows")
+        elif "_merged" in there:  # the rows that it was made of are still shown
+            self.files.delete(f"{folder}/_merged")
+        if "_before" in there and self.files.exists(f"{folder}/_before"):
+            self.files.delete(f"{folder}/_before")
+
     def _check(self, table: Table, batch: DataFrame) -> int:
         any_null = F.lit(False)
         for c in table.columns:

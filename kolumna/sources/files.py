@@ -30,6 +30,11 @@ class Files:
         if not fs.rename(p, self._at(new)[0]):
             raise OSError(f"cannot rename {old} to {new}")
 
+    def size(self, path: str) -> int:
+        """Bytes of all files in a folder."""
+        p, fs = self._at(path)
+        return fs.getContentSummary(p).getLength()
+
     def names(self, path: str) -> list[str]:
         """Names in a folder, in order; none if it is not there."""
         p, fs = self._at(path)

@@ -211,6 +211,50 @@ def test_the_lock_of_a_lost_writer_is_named_and_can_be_removed(db, ships):
     ships.query("INSERT INTO ships VALUES (77, 1, 'a')")
 
 
+def test_compaction_keeps_rows_and_survives_crashes(spark, tmp_path):
+    root = str(tmp_path / "db")
+    with Database(spark, root) as d:
+        c = d.connect()
+        c.query("CREATE TABLE t (a INT PRIMARY KEY, s VARCHAR, KEY by_s(s))")
+        for k in range(5):
+            d.append("t", spark.range(k, 500, 5).select(F.col("id").cast("int").alias("a"), F.lit(f"s{k}").alias("s")))
+        d.flush()
+        before = d.connect().query("SELECT * FROM t").digest()
+        assert len(d.catalog.files.names(f"{root}/t/rows")) == 5
+        d.catalog.compact("t", 1500)
+        assert d.connect().query("SELECT * FROM t").digest() == before
+        assert len(d.catalog.files.names(f"{root}/t/rows")) == 1 and d.catalog.files.names(f"{root}/t") == ["pending", "rows"]
+        files = [r[0] for r in d.catalog.rows("t").groupBy(F.col("_metadata.file_path")).agg(F.struct(F.min("a"), F.max("a")).alias("r")).select("r").collect()]
+        ends = sorted(map(tuple, files))
+        assert len(ends) > 1 and all(x[1] < y[0] for x, y in zip(ends, ends[1:]))  # a range of keys each
+        with pytest.raises(ConstraintError):
+            c.query("INSERT INTO t VALUES (7, 'again')")
+    for left in (("rows", "_merged"), ("rows", "_before")):  # before the swap; within it
+        (tmp_path / "db" / "t" / left[0]).rename(tmp_path / "db" / "t" / left[1])
+        with Database(spark, root) as d:
+            assert d.connect().query("SELECT * FROM t").digest() == before and d.catalog.files.names(f"{root}/t") == ["pending", "rows"]
+    (tmp_path / "db" / "t" / "_before").mkdir()
+    (tmp_path / "db" / "t" / "_merged").mkdir()
+    with Database(spark, root) as d:
+        assert d.connect().query("SELECT * FROM t").digest() == before and d.catalog.files.names(f"{root}/t") == ["pending", "rows"]
+
+
+def test_rows_by_their_places(db, ships):
+    ships.query("INSERT INTO ships VALUES (9, 1, 'n')")
+    db.flush()
+    assert sorted(map(tuple, db.gather("ships", [4, 0, 4]).collect())) == [(0, 1, 20, "x"), (4, 9, 1, "n"), (4, 9, 1, "n")]
+    assert db.gather("ships", [], ["id"]).columns == ["offset", "id"] and db.gather("ships", []).collect() == []
+    assert sorted(map(tuple, db.gather("ships", [3, 2], ["port", "id"]).collect())) == [(2, "z", 3), (3, "x", 4)]
+    for wrong in ([5], [-1], [0, 99]):
+        with pytest.raises(ConstraintError):
+            db.gather("ships", wrong)
+    with pytest.raises(BindError):
+        db.gather("ships", [0], ["nope"])
+    ships.query("CREATE TABLE none (a INT)")
+    with pytest.raises(ConstraintError):
+        db.gather("none", [0])
+
+
 def test_sums_beyond_bigint(db):
     db.attach("w", db.spark.createDataFrame([(2**62, 1), (2**62, 1), (2**62, 2)], "v bigint, g int"))
     c = db.connect()
