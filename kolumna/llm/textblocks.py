@@ -9,6 +9,7 @@ longest single text rather than the batch.  A null text counts as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ BLOCK_BYTES = 1 << 20
 #: Bytes of a text that arrays of eight bytes for each of them are made over at once.
 STEP = 1 << 22
 
+_LIBC = ctypes.CDLL(None)
 _U = np.uint64
 _rng = np.random.default_rng(0x5EED)
 #: A random 64-bit value for each byte; word and gram hashes are built from it.
@@ -67,13 +69,21 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose texts hold about ``limit`` bytes; one longer text is a block of its own."""
+    """Row ranges whose texts hold about ``limit`` bytes; one longer text is a block of its own. After the last, memory that is free goes back to the system."""
     n, i = len(offsets) - 1, 0
     while i < n:
         j = int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
+    give_back()
+
+
+def give_back() -> None:
+    """Return what the allocators hold for later: a worker that waits for its next stage should be small."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 class Words:

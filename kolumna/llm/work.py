@@ -5,9 +5,8 @@ lineage and is read by every job of a run.  The folder is the session's
 ``spark.checkpoint.dir``; where that is unset (tests, local sessions) a folder
 of this process stands in.
 
-Tables that an operator's result still reads stay until the application's
-owner clears the folder, as with checkpoints of Spark itself; the others are
-removed on the way.
+Tables that an operator's result still reads are removed when the process of
+the application's driver ends, the others on the way.
 """
 
 from __future__ import annotations
@@ -26,6 +25,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kolumna.session import shared_folder
+from kolumna.sources.files import remove_at_exit
+
 
 @functools.cache
 def _own() -> str:
@@ -35,12 +37,7 @@ def _own() -> str:
 
 
 def folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not (spark.conf.get("spark.master", "local") or "local").startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = _own()
-    return found.rstrip("/")
+    return shared_folder(spark) or _own()
 
 
 #: Bytes of an Arrow batch on its way to Python. Spark's own limit is a number of rows, which long texts make large.
@@ -84,6 +81,7 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     path = f"{folder(spark)}/kolumna-{tag}-{uuid.uuid4().hex}"
     for made in _open[-1:]:
         made.append(path)
+    remove_at_exit(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     _paths[found] = path
