@@ -19,6 +19,7 @@ from kolumna.schema import Key, table_of
 from kolumna.session import shared_folder
 from kolumna.sources import bench_table
 from kolumna.sources.catalog import duplicates
+from kolumna.sources.files import remove_at_exit
 
 #: Keys of the attached tables.
 KEYS = {
@@ -104,9 +105,11 @@ CATALOGUE: dict[str, tuple[str, dict[str, str], str | None]] = {
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for a database: in the shared folder that the session names, or, where it names none, in this process's own."""
+    """A new folder for a database, removed when the process ends: in the shared folder that the session names, or, where it names none, in this process's own."""
     shared = shared_folder(spark)
-    return f"{shared}/kolumna-db-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="kolumna-db-")
+    path = f"{shared}/kolumna-db-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="kolumna-db-")
+    remove_at_exit(spark, path)
+    return path
 
 
 class _Attached(Connection):

@@ -18,7 +18,8 @@ SETTINGS = {
 def shared_folder(spark: SparkSession) -> str | None:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it; None on one machine that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not (spark.conf.get("spark.master", "local") or "local").startswith("local"):
+    master = spark.conf.get("spark.master", "local") or "local"
+    if not found and master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return found.rstrip("/") if found else None
 

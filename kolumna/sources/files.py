@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder when this process, the application's driver, ends."""
+    where, conf = spark._jvm.org.apache.hadoop.fs.Path(path), spark._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        with contextlib.suppress(Py4JError, OSError):  # the JVM may be gone already
+            where.getFileSystem(conf).delete(where, True)
+
+    atexit.register(remove)
+
+
 class Files:
     def __init__(self, spark: SparkSession):
         self._jvm, self._conf, self._gateway = spark._jvm, spark._jsc.hadoopConfiguration(), spark.sparkContext._gateway

@@ -109,17 +109,18 @@ def test_primary_key_is_unique_in_and_across_batches(ships, db):
 
 def test_composite_and_string_keys(db):
     c = db.connect()
-    c.query("CREATE TABLE o (u INT, n INT, price DOUBLE, PRIMARY KEY(u, n), KEY by_price(price))")
-    c.query("INSERT INTO o VALUES (1, 1, 5.0), (1, 2, 5.0)")
+    c.query("CREATE TABLE berths (dock VARCHAR, slot INT, depth DOUBLE, metres INT, PRIMARY KEY(dock, slot), KEY by_depth(depth, metres))")
+    c.query("INSERT INTO berths VALUES ('north', 7, 11.5, 90), ('north', 8, 11.5, 60), ('south', 7, 4.0, 60)")
     with pytest.raises(ConstraintError):
-        c.query("INSERT INTO o VALUES (1, 2, 6.0)")
-    c.query("CREATE TABLE v (name VARCHAR PRIMARY KEY, v INT)")
-    c.query("INSERT INTO v VALUES ('a', 1)")
+        c.query("INSERT INTO berths VALUES ('west', 1, 3.0, 20), ('south', 7, 9.0, 10)")
+    c.query("INSERT INTO berths VALUES ('south', 8, 9.0, 10)")
+    c.query("CREATE TABLE flags (code VARCHAR PRIMARY KEY, stripes INT)")
+    c.query("INSERT INTO flags VALUES ('quebec', 0), ('', 3)")
     with pytest.raises(ConstraintError):
-        c.query("INSERT INTO v VALUES ('a', 2)")
+        c.query("INSERT INTO flags VALUES ('', 5)")
     with pytest.raises(ConstraintError):
-        c.query(f"INSERT INTO v VALUES ('{'é' * 31}', 2)")
-    c.query(f"INSERT INTO v VALUES ('{'é' * 30}', 2)")
+        c.query(f"INSERT INTO flags VALUES ('{'é' * 31}', 2)")
+    c.query(f"INSERT INTO flags VALUES ('{'é' * 30}', 2)")
 
 
 def test_duplicates_are_rejected_after_reopening(spark, tmp_path):
@@ -140,11 +141,12 @@ def test_access_paths(db, ships):
     assert access("SELECT * FROM ships WHERE id > 1") == "SeqScan"
     assert access("SELECT * FROM ships WHERE id = 1.5") == access("SELECT * FROM ships WHERE id = 99999999999") == "SeqScan"
     assert access("SELECT * FROM ships WHERE id = 1.0") == "IndexScan(__primary__)"
-    ships.query("CREATE TABLE o (u INT, n INT, PRIMARY KEY(u, n))")
-    assert access("SELECT * FROM o WHERE u = 1") == "SeqScan"
-    assert access("SELECT * FROM o WHERE n = 1 AND u = 1") == "IndexScan(__primary__)"
-    ships.query("CREATE TABLE v (name VARCHAR PRIMARY KEY, v INT)")
-    assert access("SELECT * FROM v WHERE name = 'a'") == "SeqScan"
+    ships.query("CREATE TABLE legs (voyage BIGINT, leg INT, miles DOUBLE, PRIMARY KEY(voyage, leg), KEY by_miles(miles))")
+    assert access("SELECT * FROM legs WHERE voyage = 1") == "SeqScan"
+    assert access("SELECT * FROM legs WHERE leg = 4 AND miles > 3.5 AND voyage = 10") == "IndexScan(__primary__)"
+    assert access("SELECT leg FROM legs WHERE 12.5 = miles AND leg = 2") == "IndexScan(by_miles)"
+    ships.query("CREATE TABLE flags (code VARCHAR PRIMARY KEY, stripes INT)")
+    assert access("SELECT * FROM flags WHERE code = 'quebec'") == "SeqScan"
     assert rows(ships, "SELECT id FROM ships WHERE id = 1.5") == []
     assert rows(ships, "SELECT id FROM ships WHERE tons = 30 AND id > 2") == [(3,)]
 
@@ -346,9 +348,9 @@ def test_bulk_rows_must_fit_the_table(ships, db):
         db.append("ships", db.spark.range(3))
     with pytest.raises(ConstraintError):
         db.append("ships", db.spark.createDataFrame([(50, None, "a")], "id int, tons int, port string"))
-    n = db.append("ships", db.spark.range(1000, 66546).select(F.col("id").cast("int").alias("id"), F.lit(50).alias("tons"), F.lit("m").alias("port")))
+    n = db.append("ships", db.spark.range(2_000, 102_000).select(F.col("id").cast("int").alias("id"), (F.col("id") % 9).cast("int").alias("tons"), F.lit("m").alias("port")))
     db.flush()
-    assert n == 65546 and rows(ships, "SELECT COUNT(*) FROM ships WHERE tons = 50") == [(65546,)]
+    assert n == 100_000 and rows(ships, "SELECT COUNT(*) FROM ships WHERE tons = 5") == [(11_111,)]
 
 
 def test_command_line(spark, tmp_path, capsys):
