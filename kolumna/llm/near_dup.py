@@ -249,10 +249,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     weights = classes.select("rep", "n_shingles", "sketch")
 
     def near(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that sizes and sketches leave."""
+        """Pairs (a, b) that sizes and sketches leave; where ids are shared some come twice.
+
+        Nothing is grouped behind the joins, so that a hub's pairs can be read by several tasks."""
         left, right = (weights.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch")) for x in "ab")
         differ = sum((F.bit_count(F.col("a_sketch")[i].bitwiseXOR(F.col("b_sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
-        return pairs.join(right, "b").join(left, "a").where((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (differ <= most)).select("a", "b").distinct()
+        return pairs.join(right, "b").join(left, "a").where((100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (differ <= most)).select("a", "b")
 
     def links(pairs: DataFrame, also: DataFrame | None = None) -> DataFrame:
         """The pairs that are links, and ``also``, written."""
