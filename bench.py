@@ -1,12 +1,12 @@
 """Headline queries, timed: one JSON line.
 
-q1 to q7 run over a table of BENCH_ROWS rows (4,194,304 by default) that the
+q1 to q7 run over a table of BENCH_ROWS rows (16,777,216 by default) that the
 engine stores first; the rest over the tables in BENCH_SF_DIR.  Each figure is
-the median of several runs after a warm-up, each from a prepared statement or
-a query's text to its result.  "queries" has rows held hot, as
-in memory-resident engines; "stored" reads the engine's own Parquet table for
-each run.  "large" and "large_stored" are the same for BENCH_LARGE_ROWS rows
-(16,777,216 by default; 0 leaves them out) and do not count in "value"."""
+the median of several runs after a warm-up, each from a prepared statement to
+its result.  "queries" has rows held hot, as in memory-resident engines;
+"stored" reads the engine's own Parquet table for each run.  "medium" and
+"medium_stored" are the same for BENCH_MEDIUM_ROWS rows (4,194,304 by default;
+0 leaves them out) and do not count in "value"."""
 
 from __future__ import annotations
 
@@ -27,9 +27,9 @@ from kolumna.sources import bench_table
 
 CPUS = os.environ.get("BENCH_CPUS", "8")
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-ROWS = int(os.environ.get("BENCH_ROWS", 4_194_304))
-LARGE_ROWS = int(os.environ.get("BENCH_LARGE_ROWS", 16_777_216))
-REPEATS = int(os.environ.get("BENCH_REPEATS", 7))
+ROWS = int(os.environ.get("BENCH_ROWS", 16_777_216))
+MEDIUM_ROWS = int(os.environ.get("BENCH_MEDIUM_ROWS", 4_194_304))
+WARM, REPEATS = int(os.environ.get("BENCH_WARM", 12)), int(os.environ.get("BENCH_REPEATS", 11))
 
 BENCH = {
     "q1": "SELECT SUM(value) FROM bench",
@@ -44,7 +44,7 @@ CATALOGUE = ("flagship", "bench_q2_filter_agg", "group_low", "group_high", "inde
 
 
 def seconds(run) -> float:
-    for _ in range(3):
+    for _ in range(WARM):
         run()
     took = []
     for _ in range(REPEATS):
@@ -90,18 +90,18 @@ def main() -> None:
     root = tempfile.mkdtemp(prefix="kolumna-bench-")
     try:
         db = Database(spark, root)
+        medium, medium_stored = over(db, MEDIUM_ROWS, int(parts)) if MEDIUM_ROWS else ({}, {})
         found, stored = over(db, ROWS, int(parts))
         for name in CATALOGUE:
             frame = queries.QUERIES[name](spark, SF_DIR)
             found[name] = seconds(lambda: quietly(frame))  # a write plans and runs all of it anew
-        large, large_stored = over(db, LARGE_ROWS, int(parts)) if LARGE_ROWS else ({}, {})
     finally:
         shutil.rmtree(root, ignore_errors=True)
     short = lambda figures: {k: round(v, 4) for k, v in figures.items()}
     rate = lambda figures, rows: {k: round(rows / figures[k]) for k in BENCH if k in figures}
     print(json.dumps({
         "metric": "sum of the queries' median seconds", "value": round(sum(found.values()), 4), "unit": "sec", "queries": short(found), "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
-        "bench_rows": ROWS, "rows_per_sec": rate(found, ROWS), "stored": short(stored), "large_rows": LARGE_ROWS, "large": short(large), "large_rows_per_sec": rate(large, LARGE_ROWS), "large_stored": short(large_stored),
+        "bench_rows": ROWS, "rows_per_sec": rate(found, ROWS), "stored": short(stored), "medium_rows": MEDIUM_ROWS, "medium": short(medium), "medium_rows_per_sec": rate(medium, MEDIUM_ROWS), "medium_stored": short(medium_stored),
     }))
 
 

@@ -53,11 +53,14 @@ class Result:
 
 @dataclass(frozen=True)
 class Prepared:
-    """A planned statement, to be run any number of times; each run sees the rows of its time."""
+    """A planned statement, to be run any number of times; each run sees the rows of its time.
+
+    Over an attached table, whose rows are a fixed frame, the statement's own frame is built once and held."""
 
     sql: str
     statement: ast.Statement
     plan: BoundSelect | None
+    held: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
 
 class Database:
@@ -148,9 +151,17 @@ class Connection:
                 result.affected_rows += len(batch)
         return result
 
-    def _frame(self, plan: BoundSelect) -> DataFrame:
-        found = run_select(plan, self.database.catalog.rows(plan.table.name))
-        config = self.database.config
+    def _frame(self, plan: BoundSelect, held: dict[str, DataFrame] | None = None) -> DataFrame:
+        catalog, config = self.database.catalog, self.database.config
+        rows = catalog.rows(plan.table.name)
+        if held is None or not catalog.attached(plan.table.name):
+            found = run_select(plan, rows)
+        else:
+            if held.get("rows") is not rows:
+                held |= {"rows": rows, "found": run_select(plan, rows)}
+            found = held["found"].select("*")  # a frame of its own: one that has run once would begin at its last shuffle
+        if plan.aggregated and not plan.group:
+            return planned_at_once(found)
         if config.mode == "single":
             return found.coalesce(1)
         if config.mode == "multi" and config.partitions and (plan.group or not plan.aggregated):
@@ -162,7 +173,7 @@ class Connection:
         match statement:
             case ast.Select():
                 plan = prepared.plan
-                return Result("SELECT", tuple(Column(o.name, o.expr.type) for o in plan.outputs), self._frame(plan))
+                return Result("SELECT", tuple(Column(o.name, o.expr.type) for o in plan.outputs), self._frame(plan, prepared.held))
             case ast.CreateTable():
                 catalog.create(bind_create(statement))
                 return Result("CREATE TABLE")
@@ -182,6 +193,19 @@ class Connection:
         raise BindError(f"cannot run {prepared.sql}")
 
 
+def planned_at_once(frame: DataFrame) -> DataFrame:
+    """A global aggregate, planned without adaptive execution: behind its one exchange is one partition, which there is nothing to
+    adapt for, and its two stages are one job instead of two."""
+    conf, name = frame.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        frame._jdf.queryExecution().executedPlan()
+    finally:
+        conf.set(name, before)
+    return frame
+
+
 def explained(plan: BoundSelect, frame: DataFrame) -> str:
     """The access path, the shape of the plan, and Spark's physical plan."""
     shape = ["Aggregate" if plan.aggregated else "Project", *(["Filter"] if plan.where is not None else []), str(access_path(plan))]

@@ -90,6 +90,10 @@ class Catalog:
         self._tables[name] = checked(table_of(name, rows.schema, keys))
         self._attached[name] = rows
 
+    def attached(self, name: str) -> bool:
+        """Whether a table stands for a DataFrame."""
+        return name in self._attached
+
     def drop(self, name: str) -> None:
         """Forget a table; its folder is set aside, not erased."""
         self.find(name)
