@@ -1,4 +1,3 @@
-import hashlib
 import math
 import random
 import re
