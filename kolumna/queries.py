@@ -305,7 +305,7 @@ ORACLE_SQL: dict[str, str] = {name: oracle or sql for name, (sql, _, oracle) in
     "load_in_parts": "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 < 2",
     "create_drop_create": "SELECT * FROM (VALUES (CAST(-9223372036854775808 AS BIGINT), CAST(0 AS DOUBLE)), (9223372036854775807, 0)) AS t(a, c)",
     "stored_compacted": "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey >= 40 AND c_custkey <= 60",
-    "stored_gather": "SELECT k AS \"offset\", n_name FROM (VALUES (3), (0), (24), (3)) AS v(k) JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation) ON place = k",
+    "stored_gather": "SELECT CAST(k AS BIGINT) AS \"offset\", n_name FROM (VALUES (3), (0), (24), (3)) AS v(k) JOIN (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation) ON place = k",
     "generated_bench": "SELECT i AS id, CAST(i % 1024 AS INT) AS grp, CAST(i % 65536 AS INT) AS grp_hi, CAST((i * 48271) % 1000003 AS DOUBLE) / 1000003.0::DOUBLE AS value FROM range(3000) AS r(i)",
     "modes_agree": "SELECT m AS mode, n, true AS same FROM (VALUES ('auto'), ('single'), ('multi')) AS v(m), (SELECT COUNT(DISTINCT l_orderkey) AS n FROM lineitem)",
     "access_paths": "SELECT * FROM (VALUES " + ", ".join(f"('{sql}', '{path}')" for sql, path in _ACCESS.items()) + ") AS v(statement, path)",
