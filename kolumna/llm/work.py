@@ -83,6 +83,8 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
         made.append(path)
     remove_at_exit(spark, path)
     df.write.option("compression", "zstd").parquet(path)
+    # Spark deletes the shuffle files behind a written table once the driver's collector has found that nothing refers to them.
+    spark._jvm.System.gc()
     found = spark.read.schema(df.schema).parquet(path)
     _paths[found] = path
     return found
