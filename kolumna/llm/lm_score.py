@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kolumna.llm import textblocks
-from kolumna.llm.work import modest, saved
+from kolumna.llm.work import modest, release, saved
 
 #: Bytes of text in a block, and blocks to a shard.
 BLOCK, TOGETHER = 8 << 20, 2
@@ -212,6 +212,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: i
     asked = rows.select("block", "text", "train").repartition(n, "block").groupBy("block").applyInArrow(_asked(shards), "shard bigint, block bigint, tokens binary, token_n binary, pairs binary, pair_n binary")
     answers = saved(asked.repartition(shards, "shard").groupBy("shard").applyInArrow(_answered(shards), "block bigint, shard bigint, token_n binary, levels binary, total bigint, seen bigint"), "answers")
     total, distinct = answers.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
+    release(docs.sparkSession)
 
     out = f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return rows.repartition(n, "block").groupBy("block").cogroup(answers.select("block", "shard", "token_n", "levels").repartition(n, "block").groupBy("block")).applyInArrow(_score(total, distinct), out)

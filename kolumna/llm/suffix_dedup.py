@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kolumna.llm import bwt, textblocks
-from kolumna.llm.work import modest, saved, width
+from kolumna.llm.work import modest, release, saved, width
 
 LENGTH = 200
 GRAM = 32
@@ -300,6 +300,7 @@ def repeated(docs: DataFrame, text: str = "text", length: int = LENGTH, hot: int
             yield pa.RecordBatch.from_arrays([textblocks.column(batch, "text_key"), textblocks.column(batch, "text"), pa.array(lists, kind)], ["text_key", "text", "spans"])
 
     lost = candidates.where("copies = 1").select("text_key", "text").join(gathered, "text_key").mapInArrow(merged, "text_key binary, text binary, spans array<struct<start:int,end:int>>")
+    release(spark)
     return signs.select("text_key", "copies"), lost
 
 

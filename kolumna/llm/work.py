@@ -75,6 +75,13 @@ def modest(df: DataFrame) -> DataFrame:
     return df
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files behind tables that are written: it does so once the driver's collector has found
+    that nothing refers to them. The last execution is referred to until the next one, so that is a job of one row."""
+    spark.range(1).collect()
+    spark._jvm.System.gc()
+
+
 def saved(df: DataFrame, tag: str) -> DataFrame:
     """``df``, written once to the shared folder and read back."""
     spark = df.sparkSession
@@ -82,9 +89,8 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     for made in _open[-1:]:
         made.append(path)
     remove_at_exit(spark, path)
+    release(spark)
     df.write.option("compression", "zstd").parquet(path)
-    # Spark deletes the shuffle files behind a written table once the driver's collector has found that nothing refers to them.
-    spark._jvm.System.gc()
     found = spark.read.schema(df.schema).parquet(path)
     _paths[found] = path
     return found
