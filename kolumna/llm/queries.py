@@ -71,7 +71,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, model: str | None = None)
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kolumna.llm.secrets import secret_spans
 
-    return secret_spans(table(spark, sf_dir, "documents"))
+    # A base span of the contract is its pattern's whole match; the operator's own spans are the secrets, of an assignment its value.
+    found, match = secret_spans(table(spark, sf_dir, "documents")), F.col("base_match_sha256")
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", match.alias("base_sha256"), F.col("match_spans").alias("spans"), match,
+        F.col("base_sha256").alias("base_value_sha256"), F.col("spans").alias("value_spans"),
+    )
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -372,25 +372,27 @@ def _report(field):
         for batch in batches:
             texts = textblocks.column(batch, "text")
             found = spans_of(field.value, texts)
-            whole = [_joined(base_matches(t.as_py(), x)) if any(s[1] == "assign" for s in x) else _joined([s for s in x if s[1] != "crf"]) for t, x in zip(texts, found)]
             base = [[s for s in x if s[1] != "crf"] for x in found]
+            whole = [base_matches(t.as_py(), x) if any(s[1] == "assign" for s in x) else x for t, x in zip(texts, base)]
+            every = [_joined(sorted([*w, *(s for s in x if s[1] == "crf")], key=lambda s: (s[0], KINDS.index(s[1])))) for w, x in zip(whole, found)]
             counts = [pa.array([sum(s[1] == k for s in x) for x in base], pa.int64()) for k in KINDS[:3]]
+            texts_of = ([_digest(_joined(x)) for x in base], [_joined(x) for x in found], [_digest(_joined(x)) for x in whole], every)
             yield pa.RecordBatch.from_arrays(
-                [textblocks.column(batch, "doc_id"), *counts, *(pa.array(c, pa.string()) for c in ([_digest(_joined(x)) for x in base], [_joined(x) for x in found], map(_digest, whole)))],
-                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "base_match_sha256"],
+                [textblocks.column(batch, "doc_id"), *counts, *(pa.array(c, pa.string()) for c in texts_of)],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "base_match_sha256", "match_spans"],
             )
 
     return run
 
 
 def secret_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans ("kind:start:end" joined by commas), base_match_sha256.
+    """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans ("kind:start:end" joined by commas), base_match_sha256, match_spans.
 
-    The span of an assignment is its value; ``base_match_sha256`` is the digest with the whole match in its place."""
+    The span of an assignment is its value; ``base_match_sha256`` and ``match_spans`` are the digest and the spans with the whole match in its place."""
     field = docs.sparkSession.sparkContext.broadcast(fit(docs, doc_id, text))
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = modest(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_report(field), f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, base_match_sha256 string")
+    return rows.mapInArrow(_report(field), f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, base_match_sha256 string, match_spans string")
 
 
 def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", by: str = "[SECRET]") -> DataFrame:
