@@ -50,7 +50,7 @@ def main(arguments: list[str] | None = None) -> int:
     p.add_argument("--master", help="for a session without a cluster, such as local[4]")
     p.add_argument("--threads", type=int, help="the same as --master local[THREADS]")
     p.add_argument("--mode", choices=("auto", "single", "multi"), default="auto")
-    p.add_argument("--partitions", type=int, help="partitions of results in mode multi")
+    p.add_argument("--partitions", type=int, help="tasks of a result that run at a time in mode multi")
     p.add_argument("--gen-table", metavar="NAME", help="make a table (id BIGINT, value DOUBLE) first")
     p.add_argument("--rows", type=int, default=4_000_000, help="rows of that table")
     p.add_argument("--load-batch", type=int, metavar="N", help="append that table N rows at a time; all at once by default")

@@ -16,16 +16,22 @@ from kolumna.plans.bound import Agg, BoundSelect
 from kolumna.schema import Column, Key, Table
 from kolumna.sources.catalog import Catalog
 from kolumna.sql import ast, parse
-from kolumna.streaming import BATCH, batches
+from kolumna.streaming import BATCH, batches, in_turn
 
 
 @dataclass(frozen=True)
 class Config:
-    """How queries run. ``mode``: auto leaves partitions to Spark, single makes one task of a result, multi uses ``partitions``."""
+    """How results run. ``mode``: auto leaves a result's tasks to Spark, single runs one at a time, multi ``partitions`` at a time.
+
+    No mode changes what a task holds: it reads a partition as Spark makes them, never the whole result."""
 
     mode: str = "auto"
     partitions: int | None = None
 
+    @property
+    def at_once(self) -> int | None:
+        return {"single": 1, "multi": self.partitions}.get(self.mode)
+
 
 @dataclass
 class Result:
@@ -36,19 +42,20 @@ class Result:
     frame: DataFrame | None = None
     affected_rows: int = 0
     text: str = ""
+    at_once: int | None = None
     _rows: list[Row] | None = field(default=None, repr=False)
 
     def rows(self) -> list[Row]:
         """All rows, on the driver: for results known to be small."""
         if self._rows is None:
-            self._rows = self.frame.collect() if self.frame is not None else []
+            self._rows = [] if self.frame is None else list(in_turn(self.frame, self.at_once)) if self.at_once else self.frame.collect()
         return self._rows
 
     def batches(self, size: int = BATCH):
         return batches(self.frame, size) if self.frame is not None else iter(())
 
     def digest(self) -> Digest:
-        return digest(self.frame) if self.frame is not None else Digest(0, 0, 0)
+        return digest(self.frame, self.at_once) if self.frame is not None else Digest(0, 0, 0)
 
 
 @dataclass(frozen=True)
@@ -127,7 +134,7 @@ class Connection:
         return bind_select(statement, self.database.catalog.find)
 
     def frame(self, sql: str) -> DataFrame:
-        """A SELECT as a lazy DataFrame."""
+        """A SELECT as a lazy DataFrame, whose caller runs it: the mode does not apply."""
         return self._frame(self.plan(sql))
 
     def access(self, sql: str) -> AccessPath:
@@ -152,7 +159,7 @@ class Connection:
         return result
 
     def _frame(self, plan: BoundSelect, held: dict[str, DataFrame] | None = None) -> DataFrame:
-        catalog, config = self.database.catalog, self.database.config
+        catalog = self.database.catalog
         rows = catalog.rows(plan.table.name)
         if held is None or not catalog.attached(plan.table.name):
             found = run_select(plan, rows)
@@ -160,20 +167,14 @@ class Connection:
             if held.get("rows") is not rows:
                 held |= {"rows": rows, "found": run_select(plan, rows)}
             found = held["found"].select("*")  # a frame of its own: one that has run once would begin at its last shuffle
-        if plan.aggregated and not plan.group:
-            return planned_at_once(found)
-        if config.mode == "single":
-            return found.coalesce(1)
-        if config.mode == "multi" and config.partitions and (plan.group or not plan.aggregated):
-            return found.repartition(config.partitions)
-        return found
+        return planned_at_once(found) if plan.aggregated and not plan.group else found
 
     def _run(self, prepared: Prepared) -> Result:
         catalog, statement = self.database.catalog, prepared.statement
         match statement:
             case ast.Select():
                 plan = prepared.plan
-                return Result("SELECT", tuple(Column(o.name, o.expr.type) for o in plan.outputs), self._frame(plan, prepared.held))
+                return Result("SELECT", tuple(Column(o.name, o.expr.type) for o in plan.outputs), self._frame(plan, prepared.held), at_once=self.database.config.at_once)
             case ast.CreateTable():
                 catalog.create(bind_create(statement))
                 return Result("CREATE TABLE")

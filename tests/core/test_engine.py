@@ -68,6 +68,32 @@ def test_same_results_in_every_mode_and_partitioning(spark, tmp_path):
             assert a[:2] == b[:2] and all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(a[2:], b[2:]))
 
 
+def test_no_mode_gathers_a_result_in_few_tasks(db, monkeypatch):
+    """Single runs a result's tasks one by one, multi so many at a time, and none reads more than its partition."""
+    spark, jobs = db.spark, []
+    c = agg_t(db, 15_000, 5)
+    run = type(spark.sparkContext).runJob
+    monkeypatch.setattr(type(spark.sparkContext), "runJob", lambda self, rdd, f, partitions=None, *a: jobs.append(partitions) or run(self, rdd, f, partitions, *a))
+    sql = "SELECT id, COUNT(*) FROM agg_t GROUP BY id"
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = {}
+        for mode in ("auto", "single", "multi"):
+            db.config = Config(mode, 3)
+            result = c.query(sql)
+            assert result.frame.rdd.getNumPartitions() == 4
+            jobs.clear()
+            found[mode] = result.digest(), sorted(map(tuple, result.rows()))
+            assert jobs == 2 * {"auto": [], "single": [[0], [1], [2], [3]], "multi": [[0, 1, 2], [3]]}[mode]
+            assert sum(map(len, c.query(sql).batches(500))) == 15_000
+            assert str(c.query("SELECT id, g FROM agg_t WHERE id < 0").digest()) == f"0:{0:016x}:{0:016x}"
+            assert c.query("SELECT COUNT(*), MAX(id) FROM agg_t").digest() == found.setdefault("global", c.query("SELECT COUNT(*), MAX(id) FROM agg_t").digest())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert found["single"] == found["multi"] == found["auto"] and found["auto"][0].row_count == 15_000
+
+
 def test_types_of_results(ships):
     r = ships.query("SELECT id, id + 1.5, tons > 1, port, COUNT(*), SUM(tons), MIN(port) FROM ships GROUP BY id, id + 1.5, tons > 1, port")
     assert [c.type.value for c in r.columns] == ["INT", "DOUBLE", "INT", "VARCHAR", "BIGINT", "DOUBLE", "VARCHAR"]
